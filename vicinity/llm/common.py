@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; bounds a Python worker's memory.
 BLOCK_BYTES = 2_000_000
@@ -89,6 +90,13 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return out
 
 
+def carry(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one struct ``rest``, so that no name can clash."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    return docs.select(*out, *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
+
+
 # --- block-wise text -------------------------------------------------------------------------
 
 
