@@ -10,6 +10,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import quantise, top_k
+
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", quantise(F.col("embedding")).alias("v"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import url_verdicts
 
@@ -37,6 +44,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import suffix_dedup
 
@@ -44,10 +57,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_substring_dedup, op5_exact_dedup, op8_simhash, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_url_filter, op3_substring_dedup, op5_exact_dedup, op8_simhash, op9_packing, op10_suffix_dedup)}
 
 
 def sql() -> dict[str, str]:
-    from . import exact_dedup, url_filter
+    from . import exact_dedup, topk, url_filter
 
-    return {"op2_url_filter": url_filter.sql(), "op5_exact_dedup": exact_dedup.SQL}
+    return {"op1_topk": topk.SQL, "op2_url_filter": url_filter.sql(), "op5_exact_dedup": exact_dedup.SQL}
