@@ -42,6 +42,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, held_out, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -63,7 +70,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_url_filter, op3_substring_dedup, op5_exact_dedup, op6_quality, op8_simhash, op9_packing, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_url_filter, op3_substring_dedup, op5_exact_dedup, op6_quality, op7_language_id, op8_simhash, op9_packing, op10_suffix_dedup)}
 
 
 def sql() -> dict[str, str]:
