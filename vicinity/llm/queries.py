@@ -30,6 +30,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_fst import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -70,7 +76,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_url_filter, op3_substring_dedup, op5_exact_dedup, op6_quality, op7_language_id, op8_simhash, op9_packing, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_url_filter, op3_substring_dedup, op4_sentencepiece, op5_exact_dedup, op6_quality, op7_language_id, op8_simhash, op9_packing, op10_suffix_dedup)}
 
 
 def sql() -> dict[str, str]:
