@@ -76,7 +76,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_url_filter, op3_substring_dedup, op4_sentencepiece, op5_exact_dedup, op6_quality, op7_language_id, op8_simhash, op9_packing, op10_suffix_dedup)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_url_filter, op3_substring_dedup, op4_sentencepiece, op5_exact_dedup, op6_quality, op7_language_id, op8_simhash, op9_packing, op10_suffix_dedup, pipeline)}
 
 
 def sql() -> dict[str, str]:
