@@ -17,8 +17,8 @@ CHUNK = 2048
 Kernel = Callable[[np.ndarray, np.ndarray, float], tuple[np.ndarray, np.ndarray]]
 
 
-def matrix(table) -> np.ndarray:
-    v = table["v"].combine_chunks()
+def matrix(table, column: str = "v") -> np.ndarray:
+    v = table[column].combine_chunks()
     return v.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(v), -1)
 
 
@@ -28,11 +28,11 @@ def _run(radius: float, kernel: Kernel):
 
         src = dst = np.zeros(0, np.int64)
         if probe.num_rows and build.num_rows:
-            p, b = matrix(probe), matrix(build)
+            p, b = matrix(probe), matrix(build, "b_v")
             if p.shape[1] != b.shape[1]:
                 raise ValueError("points of different dimensions")
             i, j = kernel(p, b, radius)
-            pid, bid = probe["id"].to_numpy(), build["id"].to_numpy()
+            pid, bid = probe["id"].to_numpy(), build["b_id"].to_numpy()
             src, dst = pid[i], bid[j]
             keep = src != dst
             src, dst = src[keep], dst[keep]
@@ -45,8 +45,9 @@ def _run(radius: float, kernel: Kernel):
 
 def _edges(probe: DataFrame, build: DataFrame, radius: float, kernel: Kernel) -> DataFrame:
     ship(probe.sparkSession)
-    keys = ("cell", "pi", "bj")
-    return probe.groupBy(*keys).cogroup(build.groupBy(*keys)).applyInArrow(_run(radius, kernel), "src long, dst long")
+    # aliases give the build side attributes of its own; shared ones would be pruned away from one side
+    build = build.select(*[F.col(c).alias(f"b_{c}") for c in build.columns])
+    return probe.groupBy("cell", "pi", "bj").cogroup(build.groupBy("b_cell", "b_pi", "b_bj")).applyInArrow(_run(radius, kernel), "src long, dst long")
 
 
 def _deal(chunks) -> F.Column:
