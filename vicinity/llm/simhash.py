@@ -195,58 +195,85 @@ def spread(prints: DataFrame, ids: DataFrame, classes: DataFrame, hot: int = 204
 SEGMENT = 21
 
 
-def similar_links(classes: DataFrame, words: int, similarity: float, cap: int = 200) -> DataFrame:
+def similar_links(classes: DataFrame, words: int, similarity: float, cap: int = 4) -> DataFrame:
     """Links (src < dst) between ids of ``classes`` (id, fp: ``words`` numbers) whose fingerprints tell a
     shingle-set similarity (Jaccard) of ``similarity`` or more.
 
     A similarity j means an angle of acos(2j / (1 + j)) between shingle vectors, and a bit differs with
     that angle over pi. Texts this similar differ in too many bits for a guarantee by the pigeonhole
     principle; but with 3 x ``words`` segments, each looked up with its Hamming ball of radius 1, a pair of
-    similarity 0.8 is met with 92 %, one of 0.85 with 98 %, one of 0.9 with 99.9 % (five words). Matches are verified
-    over all bits, the bound one standard deviation above the mean distance at ``similarity``.
-
-    A key with more than ``cap`` texts links each of them to its least one instead of to each other (the
-    copies also meet under their other segments' keys).
+    similarity 0.8 is met with 92 %, one of 0.85 with 98 %, one of 0.9 with 99.9 % (five words). Matches are
+    looked at in two words, to two and a half standard deviations beyond the mean distance at ``similarity``, and then
+    verified over all bits, to one.
+
+    In a key with more than ``cap`` texts (besides four times as many as chance brings) not all pairs are
+    formed. The text with most of its segments in such keys, likely the one that the copies were made of,
+    is the key's center, and each text is verified against it. Texts that this connects are not compared
+    again; each text that stays apart from its key's center is compared with all texts of the key. So all
+    similar texts that share a key are connected, though not every pair by a link of its own.
     """
     from math import acos, pi, sqrt
 
+    from .components import connected_components
+
     bits = 64 * words
     p = acos(2 * similarity / (1 + similarity)) / pi
     bound = int(bits * p + sqrt(bits * p * (1 - p)))
-    peek = int(64 * p + 4 * sqrt(64 * p * (1 - p)))
+    glance = int(128 * p + 2.5 * sqrt(128 * p * (1 - p)))
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("fp").alias(f"{c}_fp"))
+
+    def verified(pairs: DataFrame, x: str, y: str) -> DataFrame:
+        distance = sum((F.bit_count(F.col(f"{x}_fp")[w].bitwiseXOR(F.col(f"{y}_fp")[w])) for w in range(words)), F.lit(0))
+        return pairs.join(side(x), x).join(side(y), y).where(distance <= bound).select(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of one key, not connected so far, whose two words are near."""
+        right = right.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "comp", "p0", "p1")])
+        seen = F.bit_count(F.col("p0").bitwiseXOR(F.col("o_p0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("o_p1")))
+        return left.join(right, "key").where((F.col("comp") != F.col("o_comp")) & (seen <= glance)).select(
+            F.least("id", "o_id").alias("src"), F.greatest("id", "o_id").alias("dst")
+        )
+
+    table, probes = _segments(classes.withColumn("comp", F.col("id")), words)
+    cap += 4 * (classes.count() >> SEGMENT)
+    full = materialize(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("key"), "overfull")
+    if full.isEmpty():
+        return verified(materialize(met(probes, table).distinct(), "pairs"), "src", "dst")
+    crowd = materialize(probes.join(full, "key", "left_semi").drop("comp"), "crowd")  # whoever looks into an overfull key
+    heat = crowd.where("own").groupBy("id").agg(F.count("*").alias("heat"))
+    center = materialize(crowd.where("own").join(heat, "id").groupBy("key").agg(F.max_by("id", F.struct("heat", -F.col("id"))).alias("center")), "centers")
+    stars = materialize(crowd.join(center, "key").where("id <> center").select("id", "center").distinct(), "stars")
+    stars = materialize(verified(stars, "id", "center"), "verified-stars")
+    comp = materialize(connected_components(stars).select(F.col("node").alias("id"), F.col("component").alias("comp")), "star-groups")
+    known = lambda df, c, out: df.join(comp.withColumnsRenamed({"id": c, "comp": out}), c, "left").withColumn(out, F.coalesce(out, c))
+
+    table, probes = _segments(materialize(known(classes, "id", "comp"), "classes-and-groups"), words)
+    pairs = met(probes.join(full, "key", "left_anti"), table.join(full, "key", "left_anti"))
+    crowd = materialize(known(crowd, "id", "comp"), "crowd-and-groups")
+    apart = known(crowd.join(center, "key"), "center", "c_comp").where("comp <> c_comp").drop("center", "c_comp")
+    apart = materialize(apart, "apart")
+    pairs = pairs.unionByName(met(apart, crowd.where("own"))).unionByName(met(crowd, apart.where("own")))
+    return stars.unionByName(verified(materialize(pairs.distinct(), "pairs"), "src", "dst"))
+
+
+def _segments(classes: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Table and probes (id, comp, p0, p1, key; probes: own, if it is the text's own key) of (id, comp, fp)."""
     mask = (1 << SEGMENT) - 1
     segs = [
         F.struct(
             F.lit(3 * w + s).cast("long").alias("seg"),
-            F.shiftrightunsigned(F.col("fp")[w], s * SEGMENT).bitwiseAND(F.lit(mask).cast("long")).alias("own"),
-            F.col("fp")[(w + 1) % words].alias("peek"),
+            F.shiftrightunsigned(F.col("fp")[w], s * SEGMENT).bitwiseAND(F.lit(mask).cast("long")).alias("value"),
+            F.col("fp")[(w + 1) % words].alias("p0"), F.col("fp")[(w + 2) % words].alias("p1"),
         )
         for w in range(words) for s in range(3)
     ]
-    rows = classes.select("id", F.explode(F.array(*segs)).alias("e")).select("id", "e.*")
+    rows = classes.select("id", "comp", F.explode(F.array(*segs)).alias("e")).select("id", "comp", "e.*")
     key = lambda v: F.shiftleft("seg", SEGMENT).bitwiseOR(v).alias("key")
-    table = rows.select("id", "peek", key(F.col("own")))
     flips = F.array(*[F.lit(m).cast("long") for m in _balls(SEGMENT, 1)])
     # of two that differ in a bit, the one without it looks for the other
-    probes = rows.select("id", "peek", "seg", "own", F.explode(F.filter(flips, lambda m: m.bitwiseAND(F.col("own")) == 0)).alias("flip")).select(
-        "id", "peek", key(F.col("own").bitwiseXOR(F.col("flip")))
-    )
-    full = materialize(
-        table.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "peek")).alias("low")).where(F.col("n") > cap)
-        .select("key", F.col("low.id").alias("other"), F.col("low.peek").alias("seen")), "overfull",
-    )
-    near = (F.col("id") != F.col("other")) & (F.bit_count(F.col("peek").bitwiseXOR(F.col("seen"))) <= peek)
-    usual = table.withColumnsRenamed({"id": "other", "peek": "seen"})
-    found = probes
-    if not full.isEmpty():
-        usual, found = usual.join(full.select("key"), "key", "left_anti"), probes.join(full.select("key"), "key", "left_anti")
-    pairs = found.join(usual, "key").where(near).select("id", "other")
-    if not full.isEmpty():
-        pairs = pairs.unionByName(probes.join(full, "key").where(near).select("id", "other"))
-    pairs = pairs.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("fp").alias(f"{c}_fp"))
-    distance = sum((F.bit_count(F.col("src_fp")[w].bitwiseXOR(F.col("dst_fp")[w])) for w in range(words)), F.lit(0))
-    return materialize(pairs, "pairs").join(side("src"), "src").join(side("dst"), "dst").where(distance <= bound).select("src", "dst")
+    probes = rows.withColumn("flip", F.explode(F.filter(flips, lambda m: m.bitwiseAND(F.col("value")) == 0)))
+    shown = ("id", "comp", "p0", "p1")
+    return rows.select(*shown, key(F.col("value"))), probes.select(*shown, key(F.col("value").bitwiseXOR(F.col("flip"))), (F.col("flip") == 0).alias("own"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 5) -> DataFrame:
