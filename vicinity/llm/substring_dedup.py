@@ -26,6 +26,7 @@ document, whose word positions are judged together. Other columns come back in `
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Roller, bucketed, carry, materialize, mix, ship, signed, sliding_argmin, text_blocks, words_of
 
+_SPACED_WORD = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 _MARKS = "flag int, a long, c long, multi boolean, doc_id long, pos int, m int"
 
 
@@ -202,7 +204,7 @@ def repeated_windows(text: DataFrame, window: int) -> DataFrame:
     )
 
 
-def _remove(batches: Iterator, window: int) -> Iterator:
+def _remove(batches: Iterator, window: int, verbatim: bool) -> Iterator:
     import pyarrow as pa
 
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -210,7 +212,8 @@ def _remove(batches: Iterator, window: int) -> Iterator:
         so, sp, sm = _spans(b.column(2))
         texts, n_words, n_removed, spans = [], [], [], []
         for i, t in enumerate(b.column(1)):
-            words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
+            raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+            words = _SPACED_WORD.findall(raw) if verbatim else raw.split()
             n = len(words)
             runs = []
             if so[i] < so[i + 1]:
@@ -222,7 +225,10 @@ def _remove(batches: Iterator, window: int) -> Iterator:
                 words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 runs = [{"start": int(x), "end": int(y)} for x, y in turn.reshape(-1, 2)]
-            texts.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+            if not verbatim:
+                texts.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+            else:
+                texts.append(t.as_py() if n == len(words) else b"".join(words).decode("utf-8", "surrogatepass"))
             n_words.append(n)
             n_removed.append(n - len(words))
             spans.append(runs)
@@ -232,8 +238,12 @@ def _remove(batches: Iterator, window: int) -> Iterator:
         )
 
 
-def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
-    """doc_id, text (what stays, joined by single spaces), n_words, n_removed, spans (removed runs of words), rest."""
+def substring_dedup(docs: DataFrame, window: int = 20, verbatim: bool = False) -> DataFrame:
+    """doc_id, text (what stays), n_words, n_removed, spans (removed runs of words), rest.
+
+    The words that stay are joined by single spaces; with ``verbatim`` each keeps the white space before it,
+    and texts that lose nothing are returned as they are, null ones too.
+    """
     ship(docs.sparkSession)
     text = bucketed(carry(docs), "texts", "doc_id")
     covered = _per_document(repeated_windows(text, window))
@@ -242,7 +252,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     schema = "doc_id long, text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>" + "".join(
         f", rest {text.schema['rest'].dataType.simpleString()}" for _ in rest
     )
-    return joined.mapInArrow(lambda b: _remove(b, window), schema)
+    return joined.mapInArrow(lambda b: _remove(b, window, verbatim), schema)
 
 
 def longest_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
