@@ -8,7 +8,7 @@ shortest path (least sum of arc weights) through it is the encoding.
 The model's pieces come from merges, whose result is not the path of least summed score. It is the path
 on which each two neighbouring pieces are what merging their joined text gives again: if no merge
 crosses any one border, none crosses all. So the states of the lattice are (position, last piece), an arc
-to a piece that does not go with the last one has infinite weight, and the others weigh one. Verdicts
+to a piece that does not go with the last one has infinite weight, and the others weigh nothing. Verdicts
 on pairs are computed once and kept, as are the encodings of segments. Segments end where no piece
 crosses: before a mark (a run of marks is merged by itself, but for the last, if the word takes it) and
 around line feeds.
@@ -150,41 +150,58 @@ class Transducer:
         return ok
 
     def shortest_path(self, segment: str) -> list[int]:
-        """Least-weight path through the lattice of ``segment``: states are (position, last piece; -1 after bytes)."""
-        n, ids, more = len(segment), self.id, self.more
-        states: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(n + 1)]  # last piece: (weight, position before, piece before)
-        states[0][-1] = (0, -1, -1)
-        for p in range(n):
-            here = states[p]
-            if not here:
-                continue
-            if segment[p] not in ids:  # byte fallback: nothing merges over it
-                w, last = min((w, last) for last, (w, _, _) in here.items())
-                size = len(segment[p].encode("utf-8", "replace"))
-                if -1 not in states[p + 1] or states[p + 1][-1][0] > w + size:
-                    states[p + 1][-1] = (w + size, p, last)
-                continue
-            for q in range(p + 1, n + 1):
-                text = segment[p:q]
-                piece = ids.get(text)
-                if piece is not None:
-                    there = states[q]
-                    for last, (w, _, _) in here.items():
-                        if (self.goes(last, piece) if last >= 0 else self.goes_alone(piece)) and (piece not in there or there[piece][0] > w + 1):
-                            there[piece] = (w + 1, p, last)
-                if text not in more:
-                    break
-        _, last = min((w, last) for last, (w, _, _) in states[n].items())
+        """Least-weight path through the lattice of ``segment``; a state is a position and the last piece (-1: none, or bytes).
+
+        Arcs weigh nothing or infinity, and merging has one result, so one path has a finite weight. It is looked
+        for depth first, the longest piece first; states without a way on are not entered twice.
+        """
+        n, ids, more, pairs = len(segment), self.id, self.more, self.pairs
+        arcs: dict[int, list[tuple[int, int]]] = {}  # from a position: (end, piece), the longest last
+        dead: set[tuple[int, int]] = set()
+        path: list[tuple[int, int, list[tuple[int, int]]]] = []
+        p, last = 0, -1
         out: list[int] = []
-        p = n
-        while p > 0:
-            _, before, prev = states[p][last]
-            if last < 0:
-                out.extend(self.byte[c] for c in reversed(segment[before:p].encode("utf-8", "replace")))
+        while p < n:
+            here = arcs.get(p)
+            if here is None:
+                here = arcs[p] = []
+                for q in range(p + 1, n + 1):
+                    text = segment[p:q]
+                    if text in ids:
+                        here.append((q, ids[text]))
+                    if text not in more:
+                        break
+                if segment[p] not in ids:  # byte fallback: nothing merges over it
+                    here.append((p + 1, -1))
+            left = here.copy()
+            path.append((p, last, left))
+            while True:
+                while left:
+                    q, piece = left.pop()
+                    if piece >= 0:
+                        key = last << 32 | piece if last >= 0 else -1 - piece
+                        ok = pairs.get(key)
+                        if ok is None:
+                            ok = self.goes(last, piece) if last >= 0 else self.goes_alone(piece)
+                        if not ok or (q, piece) in dead:
+                            continue
+                    break
+                else:
+                    dead.add((p, last))
+                    path.pop()
+                    p, last, left = path[-1]
+                    out.pop()
+                    continue
+                break
+            out.append(piece)
+            p, last = q, piece
+        result: list[int] = []
+        for (at, _, _), piece in zip(path, out, strict=True):
+            if piece >= 0:
+                result.append(piece)
             else:
-                out.append(last)
-            p, last = before, prev
-        return out[::-1]
+                result.extend(self.byte[c] for c in segment[at].encode("utf-8", "replace"))
+        return result
 
     def goes_alone(self, piece: int) -> bool:
         """Merging a piece's characters gives the piece."""
