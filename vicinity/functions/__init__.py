@@ -1,0 +1 @@
+"""Columns: distances and text forms."""

@@ -1,0 +1 @@
+"""Physical plans of the neighbour query."""

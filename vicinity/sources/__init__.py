@@ -1,0 +1 @@
+"""Files, generators and reports."""

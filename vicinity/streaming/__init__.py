@@ -1,0 +1 @@
+"""Empty: graphs are computed over whole tables; there is no streaming operator."""
