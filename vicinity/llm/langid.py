@@ -106,7 +106,8 @@ class LanguageModel:
         return s
 
 
-def train(texts: list[str], langs: list[str]) -> LanguageModel:
+def train(texts, langs: list[str]) -> LanguageModel:
+    """Count n-grams of ``texts`` (a list or an Arrow column)."""
     import pyarrow as pa
 
     names = sorted(set(langs))
@@ -115,7 +116,7 @@ def train(texts: list[str], langs: list[str]) -> LanguageModel:
     counts = {n: np.zeros((1 << b, k)) for n, b in BITS.items()}
     letters = np.zeros((len(_NAMES), k))
     roller = Roller(0)
-    for lo, hi, buf, off in text_blocks(pa.array(texts, pa.string())):
+    for lo, hi, buf, off in text_blocks(texts if isinstance(texts, pa.Array | pa.ChunkedArray) else pa.array(texts, pa.string())):
         starts, ends, first = words_of(buf, off)
         if not len(starts):
             continue
@@ -179,8 +180,8 @@ def fit(docs: DataFrame, sample: int = 1500) -> LanguageModel:
     for lang, n in sorted(count.items()):
         share = share.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1.0, sample / n))))
     rows = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < share).toArrow()
-    rows = sorted(zip(*(rows[c].to_pylist() for c in ("doc_id", "lang", "text")), strict=True), key=lambda r: (r[0], r[1], r[2] or ""))
-    return train([r[2] for r in rows], [r[1] for r in rows])
+    rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "lang", "text")])
+    return train(rows["text"], rows["lang"].to_pylist())
 
 
 def held_out(doc_id: str = "doc_id"):

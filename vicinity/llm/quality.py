@@ -28,7 +28,7 @@ REPEAT = 0
 #: Features of no weight that each average counts in; a few words alone cannot swing it.
 PRIOR = 10
 #: Bound on the documents to learn from.
-SAMPLE = 6000
+SAMPLE = 4000
 _SIGN = np.arange(256, dtype=np.uint32)
 _SIGN[[9, 10, 11, 12, 13, 32]] = 32
 
@@ -72,28 +72,36 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(texts: list[str], labels: list[int], dim: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> QualityModel:
-    """Embeddings and a two-way softmax by stochastic gradient descent, one document a step."""
+def train(texts, labels: list[int], dim: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> QualityModel:
+    """Embeddings and a two-way softmax by stochastic gradient descent, one document a step. ``texts``: a list or an Arrow column."""
     import pyarrow as pa
 
     size = 1 << BITS
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         return QualityModel(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0 if not labels else (4.0 if labels[0] else -4.0))
-    bags, roller = [], Roller(0)
-    for _, _, buf, off in text_blocks(pa.array(texts, pa.string())):
+    # all bags in two arrays: the driver's memory is given back when they go
+    roller, edge, indices, weights = Roller(0), [0], [], []
+    for _, _, buf, off in text_blocks(texts if isinstance(texts, pa.Array | pa.ChunkedArray) else pa.array(texts, pa.string())):
         words, first, grams, (head, tail) = features(buf, off, roller)
+        own_index, own_weight = [], []
         for i in range(len(off) - 1):
             own = np.concatenate([words[first[i] : first[i + 1]], grams[head[i] : tail[i]] + size])
             index, count = np.unique(own, return_counts=True)
-            bags.append((index, (count / (len(own) + PRIOR)).astype(np.float32)))
+            own_index.append(index.astype(np.int32))
+            own_weight.append((count / (len(own) + PRIOR)).astype(np.float32))
+            edge.append(edge[-1] + len(index))
+        indices.append(np.concatenate(own_index))
+        weights.append(np.concatenate(own_weight))
+    indices, weights = np.concatenate(indices), np.concatenate(weights)
+    bags = len(edge) - 1
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (2 * size, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
-    steps, done = epochs * len(bags), 0
+    steps, done = epochs * bags, 0
     for _ in range(epochs):
-        for i in rng.permutation(len(bags)):
-            index, weight = bags[i]
+        for i in rng.permutation(bags):
+            index, weight = indices[edge[i] : edge[i + 1]], weights[edge[i] : edge[i + 1]]
             lr = rate * (1 - done / steps)
             done += 1
             mean = weight @ vectors[index]
@@ -126,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality").toArrow()
     )
-    rows = sorted(zip(*(rows[c].to_pylist() for c in ("doc_id", "text", "quality")), strict=True))
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "text")])
+    return train(rows["text"], rows["quality"].to_pylist())
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -> DataFrame:
