@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -47,6 +48,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    They go when the driver's garbage is collected, which an idle driver puts off for as long as half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` that nothing will read again."""
     path = getattr(df, "_vicinity_path", None)
@@ -85,6 +95,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     table = f"vicinity_{name}_{uuid.uuid4().hex}"
     path = scratch_path(spark, name)
     df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(table)
+    release(spark)
     out = spark.table(table)
     out._vicinity_path = path
     return out

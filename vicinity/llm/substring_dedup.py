@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Roller, bucketed, carry, materialize, mix, ship, signed, sliding_argmin, text_blocks, words_of
+from .common import Roller, bucketed, carry, materialize, mix, release, ship, signed, sliding_argmin, text_blocks, words_of
 
 _SPACED_WORD = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 _MARKS = "flag int, a long, c long, multi boolean, doc_id long, pos int, m int"
@@ -198,7 +198,9 @@ def repeated_windows(text: DataFrame, window: int) -> DataFrame:
         ).where("kind IS NOT NULL"),
         "chunk-marks",
     )
+    release(text.sparkSession)
     full = _level(text, marks.where("kind = 2"), window, "window-marks")
+    release(text.sparkSession)
     return marks.where("kind = 1").select("doc_id", "pos", "m").unionByName(
         full.where("NOT first").select("doc_id", "pos", F.lit(1).alias("m"))
     )

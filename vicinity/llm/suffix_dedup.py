@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Roller, bucketed, carry, materialize, mix, ship, signed, sliding_argmin, text_blocks
+from .common import Roller, bucketed, carry, materialize, mix, release, ship, signed, sliding_argmin, text_blocks
 from .substring_dedup import expand
 
 BLOCK = 1_000_000
@@ -160,6 +160,7 @@ def repeated_strings(text: DataFrame, length: int, gram: int = 16, steps: tuple[
         spans = marks.where("next").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "m", "anc")).alias("spans"))
         joined = text.select("doc_id", "text").join(spans, "doc_id")
         marks = _judge(joined.mapInArrow(lambda b, s=step: _bins(b, length, s), _ROWS), f"bins-{step}")
+        release(text.sparkSession)
         out = out.unionByName(marks.where("repeated").select("doc_id", "pos", "m"))
     return out
 
