@@ -67,8 +67,10 @@ class DigestIndex:
             ),
             "digests",
         )
-        groups = seen.groupBy("digest").agg(
-            F.max(F.struct("chars", (-F.col("doc_id")).alias("low"))).alias("best"), F.count("*").alias("group_size")
+        # written down, or the anti-join would be pushed below the aggregate and each copy shuffled
+        groups = materialize(
+            seen.groupBy("digest").agg(F.max(F.struct("chars", (-F.col("doc_id")).alias("low"))).alias("best"), F.count("*").alias("group_size")),
+            "digest-groups",
         )
         fresh = groups.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti").select(
             "digest",
