@@ -202,6 +202,34 @@ def test_similar_groups_on_a_crowd(spark):
     assert got == {i: i for i in range(40)} | {i: 40 for i in range(40, 120)} | {120: 120, 121: 120, 122: 0}
 
 
+@pytest.mark.parametrize("crowd", [2, 30])
+def test_similar_groups_against_brute_force(spark, crowd):
+    from vicinity.llm.simhash import similar_groups
+
+    rng = random.Random(crowd)
+    word = lambda: f"w{rng.randrange(9000)}"
+    texts, line = [], [word() for _ in range(30)]
+    for _ in range(240 // crowd):  # copies on both sides of 0.8, a line that all share, and exactly 0.8 (8 of 10 shingles)
+        base = [word() for _ in range(rng.choice([12, 60, 150]))]
+        for _ in range(crowd):
+            w = base.copy()
+            for k in rng.sample(range(len(w)), max(1, len(w) * rng.randrange(1, 6) // 150)):
+                w[k] = word()
+            texts.append(line + w)
+    base = [word() for _ in range(13)]
+    texts += [base, base[:-1]] + [base[:12] + [word()], base[:10]]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    group = list(range(len(texts)))
+    edge = {(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(edge) > 10
+    for _ in group:
+        for a, b in edge:
+            group[a] = group[b] = min(group[a], group[b])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in similar_groups(df).collect()}
+    assert got == dict(enumerate(group))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     from vicinity.llm.components import connected_components
 

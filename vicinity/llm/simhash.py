@@ -20,13 +20,14 @@ equal fingerprint are one class and are not expanded into pairs. Extra columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, ship
+from .common import discard, materialize, mix, release, ship
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -51,13 +52,13 @@ def majority_bits(h: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
-def fingerprint_of(text: str | None, shingle: int = 3, words: int = 1) -> np.ndarray:
-    """Fingerprint of one text in 64-bit words; the first is of the shingles' XXH64 (seed 42), further ones of hashes of that."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of a text; none for a text without words."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     body = b" ".join(tokens)
     if len(tokens) <= shingle:
         pieces = [body]
@@ -66,7 +67,14 @@ def fingerprint_of(text: str | None, shingle: int = 3, words: int = 1) -> np.nda
         starts = [0, *(ends[:-1] + 1).tolist()]
         pieces = [body[a:b] for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=False)]
     h = xxhash.xxh64_intdigest
-    first = np.array([h(p, 42) for p in pieces], np.uint64)
+    return np.array([h(p, 42) for p in pieces], np.uint64)
+
+
+def fingerprint_of(text: str | None, shingle: int = 3, words: int = 1) -> np.ndarray:
+    """Fingerprint of one text in 64-bit words; the first is of the shingles' XXH64 (seed 42), further ones of hashes of that."""
+    first = shingle_hashes(text, shingle)
+    if not len(first):
+        return np.zeros(words, np.uint64)
     return majority_bits(np.stack([first, *(mix(first + np.uint64(k)) for k in range(1, words))], axis=1))
 
 
@@ -189,103 +197,182 @@ def spread(prints: DataFrame, ids: DataFrame, classes: DataFrame, hot: int = 204
     return prints.join(crowded, "fp").unionByName(prints.join(crowded.select("fp"), "fp", "left_anti").join(ids, "fp"))
 
 
-# --- wide fingerprints: similar texts, not nearly equal fingerprints ---------------------------
+# --- similar texts: all pairs by exact set similarity ------------------------------------------
+
+#: A shingle in at least HOT_LEAST of HOT_SAMPLE sampled texts comes late in the order of shingles; at most HOT_MOST do.
+HOT_SAMPLE, HOT_LEAST, HOT_MOST = 20_000, 12, 20_000
+#: Rounds of centers before the texts of a crowded key are compared one by one.
+ROUNDS = 2
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, in ascending order; none for a text without words."""
+    return np.unique(shingle_hashes(text, shingle))
 
-#: Bits of a segment of a wide fingerprint; each 64-bit word has three.
-SEGMENT = 21
 
+def _set_id(s: np.ndarray) -> int:
+    import xxhash
+
+    return _signed(xxhash.xxh64_intdigest(s.tobytes(), 7))
+
+
+def _typical(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of many sampled texts, the most frequent last."""
+    import pyarrow as pa
+
+    share = HOT_SAMPLE / max(1, docs.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), shingle).view(np.int64))], ["h"])
+
+    some = docs if share >= 1 else docs.sample(share, 1)
+    rows = some.select(F.col("text").cast("string")).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    rows = rows.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "h").limit(HOT_MOST).collect()
+    return np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
 
-def similar_links(classes: DataFrame, words: int, similarity: float, cap: int = 4) -> DataFrame:
-    """Links (src < dst) between ids of ``classes`` (id, fp: ``words`` numbers) whose fingerprints tell a
-    shingle-set similarity (Jaccard) of ``similarity`` or more.
 
-    A similarity j means an angle of acos(2j / (1 + j)) between shingle vectors, and a bit differs with
-    that angle over pi. Texts this similar differ in too many bits for a guarantee by the pigeonhole
-    principle; but with 3 x ``words`` segments, each looked up with its Hamming ball of radius 1, a pair of
-    similarity 0.8 is met with 92 %, one of 0.85 with 98 %, one of 0.9 with 99.9 % (five words). Matches are
-    looked at in two words, to two and a half standard deviations beyond the mean distance at ``similarity``, and then
-    verified over all bits, to one.
+def shingle_prefixes(docs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
+    """(doc_id, id, n, prefix): hash and size of each text's shingle set, and its first shingles in an order common to all texts.
 
-    In a key with more than ``cap`` texts (besides four times as many as chance brings) not all pairs are
-    formed. The text with most of its segments in such keys, likely the one that the copies were made of,
-    is the key's center, and each text is verified against it. Texts that this connects are not compared
-    again; each text that stays apart from its key's center is compared with all texts of the key. So all
-    similar texts that share a key are connected, though not every pair by a link of its own.
+    Two sets of similarity p / q or more share one of their first n - ceil(n p / q) + 1 shingles, whatever the order is.
     """
-    from math import acos, pi, sqrt
+    import pyarrow as pa
+
+    hot = _typical(docs, shingle)
+    at = np.argsort(hot)
+    table, rank = hot[at], at + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sizes, firsts = [], [], []
+            for x in b.column(1):
+                s = shingle_set(x.as_py(), shingle)
+                n = len(s)
+                ids.append(_set_id(s))
+                sizes.append(n)
+                if len(table) and n:
+                    i = np.minimum(np.searchsorted(table, s), len(table) - 1)
+                    s = s[np.argsort(np.where(table[i] == s, rank[i], 0), kind="stable")]
+                firsts.append(s[: n + (-n * p // q) + 1 if n else 0].view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
+            flat = pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "id", "n", "prefix"]
+            )
+
+    return docs.mapInArrow(run, "doc_id long, id long, n int, prefix array<long>")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, set) of each row of ``docs`` (text, id) whose text has that id."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, i in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                s = shingle_set(x.as_py(), shingle)
+                if _set_id(s) == i:  # not another text of the same doc_id
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["id", "set"])
+
+    return docs.select("text", "id").mapInArrow(run, "id long, set array<long>")
 
+
+def similar_links(docs: DataFrame, prints: DataFrame, shingle: int, p: int, q: int, cap: int = 8) -> DataFrame:
+    """Links (src < dst) between ids of ``prints`` (of :func:`shingle_prefixes`), all of a similarity (Jaccard) of
+    p / q or more; every pair so similar is connected, though not each by a link of its own.
+
+    A pair that shares a shingle of both prefixes, and that sizes, places and whole prefixes do not exclude, is verified
+    on its whole sets. In a key (shingle) with more than ``cap`` texts not all pairs are formed at first: each text is
+    verified against a center, in later rounds against others, and what this connects is not compared again. Each text
+    that stays apart from its key's center is compared with all texts of the key that it isn't connected to.
+    """
     from .components import connected_components
 
-    bits = 64 * words
-    p = acos(2 * similarity / (1 + similarity)) / pi
-    bound = int(bits * p + sqrt(bits * p * (1 - p)))
-    glance = int(128 * p + 2.5 * sqrt(128 * p * (1 - p)))
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("fp").alias(f"{c}_fp"))
-
-    def verified(pairs: DataFrame, x: str, y: str) -> DataFrame:
-        distance = sum((F.bit_count(F.col(f"{x}_fp")[w].bitwiseXOR(F.col(f"{y}_fp")[w])) for w in range(words)), F.lit(0))
-        return pairs.join(side(x), x).join(side(y), y).where(distance <= bound).select(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
-
-    def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs of one key, not connected so far, whose two words are near."""
-        right = right.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "comp", "p0", "p1")])
-        seen = F.bit_count(F.col("p0").bitwiseXOR(F.col("o_p0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("o_p1")))
-        return left.join(right, "key").where((F.col("comp") != F.col("o_comp")) & (seen <= glance)).select(
-            F.least("id", "o_id").alias("src"), F.greatest("id", "o_id").alias("dst")
-        )
+    copies = prints.groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("id", "low")
+    one = prints.join(copies, "id", "left").where("low IS NULL OR doc_id = low")
+    post = one.select("doc_id", "id", "n", F.posexplode("prefix").alias("pos", "key"))
+    shared = materialize(post.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "shared-keys")
+    live = materialize(post.join(shared, "key"), "live")
+    discard(shared)
+    release(docs.sparkSession)
+    live = live.select("id", "n", "pos", "key", "texts")
+    one_of = lambda df: df.select(F.least("id", "o_id").alias("src"), F.greatest("id", "o_id").alias("dst")).distinct()
+    may = (F.least("n", "o_n") * q >= F.greatest("n", "o_n") * p) & (
+        F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) * (p + q) >= (F.col("n") + F.col("o_n")) * p
+    )
 
-    table, probes = _segments(classes.withColumn("comp", F.col("id")), words)
-    cap += 4 * (classes.count() >> SEGMENT)
-    full = materialize(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("key"), "overfull")
-    if full.isEmpty():
-        return verified(materialize(met(probes, table).distinct(), "pairs"), "src", "dst")
-    crowd = materialize(probes.join(full, "key", "left_semi").drop("comp"), "crowd")  # whoever looks into an overfull key
-    heat = crowd.where("own").groupBy("id").agg(F.count("*").alias("heat"))
-    center = materialize(crowd.where("own").join(heat, "id").groupBy("key").agg(F.max_by("id", F.struct("heat", -F.col("id"))).alias("center")), "centers")
-    stars = materialize(crowd.join(center, "key").where("id <> center").select("id", "center").distinct(), "stars")
-    stars = materialize(verified(stars, "id", "center"), "verified-stars")
-    comp = materialize(connected_components(stars).select(F.col("node").alias("id"), F.col("component").alias("comp")), "star-groups")
-    known = lambda df, c, out: df.join(comp.withColumnsRenamed({"id": c, "comp": out}), c, "left").withColumn(out, F.coalesce(out, c))
-
-    table, probes = _segments(materialize(known(classes, "id", "comp"), "classes-and-groups"), words)
-    pairs = met(probes.join(full, "key", "left_anti"), table.join(full, "key", "left_anti"))
-    crowd = materialize(known(crowd, "id", "comp"), "crowd-and-groups")
-    apart = known(crowd.join(center, "key"), "center", "c_comp").where("comp <> c_comp").drop("center", "c_comp")
-    apart = materialize(apart, "apart")
-    pairs = pairs.unionByName(met(apart, crowd.where("own"))).unionByName(met(crowd, apart.where("own")))
-    return stars.unionByName(verified(materialize(pairs.distinct(), "pairs"), "src", "dst"))
-
-
-def _segments(classes: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """Table and probes (id, comp, p0, p1, key; probes: own, if it is the text's own key) of (id, comp, fp)."""
-    mask = (1 << SEGMENT) - 1
-    segs = [
-        F.struct(
-            F.lit(3 * w + s).cast("long").alias("seg"),
-            F.shiftrightunsigned(F.col("fp")[w], s * SEGMENT).bitwiseAND(F.lit(mask).cast("long")).alias("value"),
-            F.col("fp")[(w + 1) % words].alias("p0"), F.col("fp")[(w + 2) % words].alias("p1"),
-        )
-        for w in range(words) for s in range(3)
-    ]
-    rows = classes.select("id", "comp", F.explode(F.array(*segs)).alias("e")).select("id", "comp", "e.*")
-    key = lambda v: F.shiftleft("seg", SEGMENT).bitwiseOR(v).alias("key")
-    flips = F.array(*[F.lit(m).cast("long") for m in _balls(SEGMENT, 1)])
-    # of two that differ in a bit, the one without it looks for the other
-    probes = rows.withColumn("flip", F.explode(F.filter(flips, lambda m: m.bitwiseAND(F.col("value")) == 0)))
-    shown = ("id", "comp", "p0", "p1")
-    return rows.select(*shown, key(F.col("value"))), probes.select(*shown, key(F.col("value").bitwiseXOR(F.col("flip"))), (F.col("flip") == 0).alias("own"))
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """(doc_id, group_id) for each row of ``docs``: group_id is the least doc_id reachable over links of
-    :func:`similar_links`; texts of equal fingerprint are linked. Null doc_ids have a null group."""
+    def verified(pairs: DataFrame) -> DataFrame:
+        # shared shingles are in both prefixes, or behind the one that ends first
+        head = lambda c: one.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("prefix").alias(f"{c}_head"))
+        behind = lambda c: F.col(f"{c}_n") - F.size(f"{c}_head")
+        most = F.size(F.array_intersect("src_head", "dst_head")) + F.greatest(behind("src"), behind("dst"))
+        close = pairs.join(head("src"), "src").join(head("dst"), "dst").where(most * (p + q) >= (F.col("src_n") + F.col("dst_n")) * p)
+        close = materialize(close.select("src", "dst"), "close-pairs")
+        ends = close.select(F.col("src").alias("id")).unionByName(close.select(F.col("dst").alias("id"))).distinct()
+        need = materialize(one.select("id", "doc_id").join(ends, "id", "left_semi").distinct(), "need")
+        sets = materialize(shingle_sets(docs.join(need, "doc_id"), shingle), "sets")
+        if not sets.groupBy("id").count().where("count > 1").isEmpty():
+            sets = materialize(sets.dropDuplicates(["id"]), "sets")
+        side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"{c}_set"))
+        both = F.size(F.array_intersect("src_set", "dst_set"))
+        alike = both * q >= (F.size("src_set") + F.size("dst_set") - both) * p
+        out = materialize(close.join(side("src"), "src").join(side("dst"), "dst").where(alike).select("src", "dst"), "alike")
+        discard(sets)
+        release(docs.sparkSession)
+        return out
+
+    def other(df: DataFrame) -> DataFrame:
+        return df.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "pos", "comp")])
+
+    def known(df: DataFrame) -> DataFrame:
+        return df.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    crowd = live.where(F.col("texts") > cap)
+    links = None
+    if crowd.isEmpty():
+        live = live.withColumn("comp", F.col("id"))
+    else:
+        heat = crowd.groupBy("id").agg(F.count("*").alias("heat"))
+        crowd = materialize(crowd.join(heat, "id").withColumn("comp", F.col("id")), "crowd")
+        for k in range(ROUNDS):
+            choice = F.struct("heat", "id") if k == 0 else F.struct(F.xxhash64("id", "key", F.lit(k)), "id")
+            center = materialize(crowd.groupBy("key").agg(F.max_by(F.struct("id", "n", "pos", "comp"), choice).alias("c")).select("key", "c.*"), "centers")
+            stars = verified(materialize(one_of(crowd.join(other(center), "key").where((F.col("comp") != F.col("o_comp")) & may)), "stars"))
+            links = materialize(stars if links is None else links.unionByName(stars), "verified-stars")
+            comp = materialize(connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp")), "star-groups")
+            crowd = materialize(known(crowd), "crowd")
+        live = known(live)
+    live = materialize(live, "live-and-groups")
+    few, many = live.where(F.col("texts") <= cap), live.where(F.col("texts") > cap)
+    met = lambda a, b: a.join(other(b), "key").where((F.col("comp") != F.col("o_comp")) & may)
+    pairs = one_of(met(few, few).where("id < o_id"))
+    if links is not None:
+        main = materialize(many.groupBy("key").agg(F.mode("comp", True).alias("main")), "main-groups")
+        apart = materialize(many.join(main, "key").where("comp <> main").drop("main"), "apart")
+        pairs = pairs.unionByName(one_of(met(apart, many))).distinct()
+    rest = verified(materialize(pairs, "pairs"))
+    return rest if links is None else links.unionByName(rest)
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, group_id) for each row of ``docs``: group_id is the least doc_id reachable over pairs of texts whose
+    sets of word shingles have a similarity (Jaccard) of ``similarity`` or more, all of them and no others; texts
+    without words are alike. Null doc_ids have a null group. Shingles and sets are told apart by 64-bit hashes."""
     from .components import connected_components
 
-    prints = materialize(fingerprints(docs, shingle, words).where("doc_id IS NOT NULL"), "wide-fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "wide-classes")
-    member = connected_components(similar_links(classes, words, similarity)).withColumnsRenamed({"node": "id", "component": "group_id"})
-    # a class's id is its least doc_id, so rows of other ids follow the class
-    moved = materialize(member.join(classes, "id").select("fp", "group_id"), "moved")
-    rest = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("fp", "low")
-    group = materialize(rest.join(moved, "fp", "full").select("fp", F.coalesce("group_id", "low").alias("group_id")), "groups")
-    return prints.join(group, "fp", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"))
+    ship(docs.sparkSession)
+    ratio = Fraction(str(similarity))
+    p, q = ratio.numerator, ratio.denominator
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    some = rows.where("doc_id IS NOT NULL")
+    prints = materialize(shingle_prefixes(some, shingle, p, q), "shingle-prefixes")
+    member = connected_components(similar_links(some, prints, shingle, p, q)).withColumnsRenamed({"node": "id"})
+    classes = materialize(prints.groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "classes")
+    least = materialize(member.join(classes, "id").groupBy("component").agg(F.min("low").alias("group_id")), "least")
+    moved = member.join(least, "component").select("id", "group_id")
+    group = materialize(
+        classes.join(moved, "id", "left").where("n > 1 OR group_id IS NOT NULL").select("id", F.coalesce("group_id", "low").alias("group_id")), "groups"
+    )
+    return prints.select("doc_id", "id").join(group, "id", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"))
