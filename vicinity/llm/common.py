@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; bounds a Python worker's memory.
@@ -34,8 +34,31 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Scratch folders made by this process and not deleted yet.
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/vicinity/{name}-{uuid.uuid4().hex}"
+    _made.append(path := f"{scratch_root(spark)}/vicinity/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+def finish(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete the scratch folders made after the first ``since`` of ``_made``, but for ``keep``."""
+    for path in list(_made[since:]):
+        if path not in keep:
+            delete_path(spark, path)
+
+
+def scratch_mark() -> int:
+    return len(_made)
+
+
+def finished(result: DataFrame, since: int, name: str) -> DataFrame:
+    """``result``, written down, and nothing else of what was made on the way to it."""
+    out = materialize(result, name)
+    finish(result.sparkSession, since, (out._vicinity_path,))
+    return out
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -68,6 +91,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -97,10 +122,17 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(table)
     release(spark)
     out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and what has been resolved goes on reading them
     out._vicinity_path = path
     return out
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """Two 64-bit hashes, ``_k1`` and ``_k2``, that tell rows of different doc_id or text apart, nulls too."""
+    parts = [F.col(doc_id).isNull(), F.col(doc_id).cast("long"), F.col(text).isNull(), F.col(text).cast("string")]
+    return [F.xxhash64(F.lit(k), *parts).alias(f"_k{k}") for k in (1, 2)]
+
+
 def carry(docs: DataFrame) -> DataFrame:
     """doc_id, text, and all other columns in one struct ``rest``, so that no name can clash."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]

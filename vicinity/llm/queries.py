@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import finished, scratch_mark
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -13,8 +14,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import quantise, top_k
 
+    since = scratch_mark()
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", quantise(F.col("embedding")).alias("v"))
-    return top_k(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"))
+    return finished(top_k(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")), since, "op1")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +28,9 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
+    since = scratch_mark()
     out = substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return finished(out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")), since, "op3")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +42,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
-    return exact_dedup(_table(spark, sf_dir, "documents"))
+    since = scratch_mark()
+    return finished(exact_dedup(_table(spark, sf_dir, "documents")).drop("_k1", "_k2"), since, "op5")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +62,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    since = scratch_mark()
+    out = near_duplicates(_table(spark, sf_dir, "documents"))
+    return finished(out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), since, "op8")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +76,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import suffix_dedup
 
+    since = scratch_mark()
     out = suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return finished(out, since, "op10")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,19 +22,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import combinations
+from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix, release, ship
+from .common import Roller, discard, materialize, mix, release, ship, text_blocks, words_of
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def majority_bits(h: np.ndarray) -> np.ndarray:
-    """For each column of 64-bit numbers: the bits set in over half of the rows. Counts by carry-save addition."""
-    n, columns = h.shape
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How often each bit is set in each column of 64-bit numbers: (columns, 64). Counts by carry-save addition."""
+    columns = h.shape[1]
     counts = np.zeros((columns, 64), np.int64)
     weight, left = 1, h
     while len(left):
@@ -49,7 +50,12 @@ def majority_bits(h: np.ndarray) -> np.ndarray:
             counts += weight * np.unpackbits(np.ascontiguousarray(row).view(np.uint8).reshape(columns, 8), axis=1, bitorder="little").astype(np.int64)
         left = np.concatenate(carries) if carries else left[:0]
         weight *= 2
-    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+    return counts
+
+
+def majority_bits(h: np.ndarray) -> np.ndarray:
+    """For each column of 64-bit numbers: the bits set in over half of the rows."""
+    return np.packbits(2 * bit_counts(h) > len(h), axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -197,17 +203,29 @@ def spread(prints: DataFrame, ids: DataFrame, classes: DataFrame, hot: int = 204
     return prints.join(crowded, "fp").unionByName(prints.join(crowded.select("fp"), "fp", "left_anti").join(ids, "fp"))
 
 
-# --- similar texts: all pairs by exact set similarity ------------------------------------------
+# --- similar texts: wide fingerprints of shingle sets, pairs verified on the sets -----------------
 
-#: A shingle in at least HOT_LEAST of HOT_SAMPLE sampled texts comes late in the order of shingles; at most HOT_MOST do.
-HOT_SAMPLE, HOT_LEAST, HOT_MOST = 20_000, 12, 20_000
-#: Rounds of centers before the texts of a crowded key are compared one by one.
-ROUNDS = 2
+#: Words of a wide fingerprint that verification looks at, at least.
+WIDE = 8
+#: A probe flips up to FLIPS of the WEAK least decided bits of a segment.
+WEAK, FLIPS = 4, 2
+#: The share of pairs just at the similarity threshold that segments are laid out to meet.
+MEET = 0.965
+_LOWER_BYTES = np.frombuffer(_LOWER, np.uint8)
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Distinct hashes of a text's shingles, in ascending order; none for a text without words."""
-    return np.unique(shingle_hashes(text, shingle))
+def shingle_sets_of(column, shingle: int) -> Iterator[np.ndarray]:
+    """The set of word-shingle hashes of each text of an Arrow column, in ascending order; a text of fewer words has one shingle, one without words none."""
+    letters, words = Roller(0), Roller(1)
+    for lo, hi, buf, off in text_blocks(column, 1_000_000):
+        buf = _LOWER_BYTES[buf]
+        starts, ends, first = words_of(buf, off)
+        prefix = words.prefix(letters.of(letters.prefix(letters.table[buf]), starts, ends))
+        at = np.arange(max(0, len(starts) - shingle + 1))
+        h = words.of(prefix, at, at + shingle)
+        for i in range(hi - lo):
+            a, b = first[i], first[i + 1]
+            yield np.unique(h[a : b - shingle + 1] if b - a >= shingle else words.of(prefix, first[i : i + 1], first[i + 1 : i + 2])[: b - a])
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -216,163 +234,205 @@ def _set_id(s: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(s.tobytes(), 7))
 
 
-def _typical(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles of many sampled texts, the most frequent last."""
+def differing_share(similarity: float) -> float:
+    """Expected share of bits in which fingerprints of two sets of this similarity (Jaccard) differ: the angle of the sets over pi."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def layout(texts: int, similarity: float) -> tuple[int, int]:
+    """Width and number of segments for a table of so many texts.
+
+    Segments get wider with the table, so that few unrelated texts share one by chance, and more of them are laid out, so
+    that a pair just at ``similarity`` is met with probability MEET at any size. How often one segment meets such a pair is
+    measured on simulated bit margins, correlated as the two sets are.
+    """
+    width = max(21, int(texts).bit_length() + 3)
+    rng = np.random.default_rng(7)
+    r = 2 * similarity / (1 + similarity)
+    a = rng.normal(size=(20_000, width))
+    b = r * a + sqrt(1 - r * r) * rng.normal(size=a.shape)
+    differ = (a > 0) != (b > 0)
+    hit = np.zeros(len(a), bool)
+    for margin in (a, b):
+        weak = np.argsort(np.abs(margin), 1)[:, :WEAK]
+        hit |= (np.take_along_axis(differ, weak, 1).sum(1) == differ.sum(1)) & (differ.sum(1) <= FLIPS)
+    return width, ceil(log(1 - MEET) / log(1 - hit.mean()))
+
+
+def wide_prints(rows: DataFrame, shingle: int, width: int, segments: int) -> DataFrame:
+    """(ref, id, n, own, weak, fp) for each row (ref, text): hash and size of the shingle set, values and least decided bits of the segments, fingerprint."""
     import pyarrow as pa
 
-    share = HOT_SAMPLE / max(1, docs.count())
+    words = max(WIDE, -(-width * segments // 64))
+
+    def part(refs, sets):
+        counts = np.zeros((len(sets), 64 * words), np.int32)
+        for i, s in enumerate(sets):
+            if len(s):
+                counts[i] = 2 * bit_counts(np.stack([s, *(mix(s + np.uint64(k)) for k in range(1, words))], axis=1)).ravel() - len(s)
+        fp = np.packbits(counts > 0, axis=1, bitorder="little").view("<i8").astype(np.int64)
+        margin = counts[:, : width * segments].reshape(len(sets), segments, width)
+        own = (margin > 0).astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
+        least = np.argsort(np.abs(margin), axis=2, kind="stable")[:, :, :WEAK].astype(np.int64)
+        weak = (least << (6 * np.arange(WEAK, dtype=np.int64))).sum(2)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+        ids, n = pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())
+        return pa.RecordBatch.from_arrays([refs, ids, n, lists(own), lists(weak), lists(fp)], ["ref", "id", "n", "own", "weak", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), shingle).view(np.int64))], ["h"])
-
-    some = docs if share >= 1 else docs.sample(share, 1)
-    rows = some.select(F.col("text").cast("string")).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
-    rows = rows.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "h").limit(HOT_MOST).collect()
-    return np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
+            done, held = 0, []
+            for s in shingle_sets_of(b.column(1), shingle):
+                held.append(s)
+                if len(held) == 1024:
+                    yield part(b.column(0).slice(done, len(held)), held)
+                    done, held = done + len(held), []
+            if held:
+                yield part(b.column(0).slice(done), held)
 
+    ref = rows.schema["ref"].dataType.simpleString()
+    return rows.select("ref", "text").mapInArrow(run, f"ref {ref}, id long, n int, own array<long>, weak array<long>, fp array<long>")
 
-def shingle_prefixes(docs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
-    """(doc_id, id, n, prefix): hash and size of each text's shingle set, and its first shingles in an order common to all texts.
 
-    Two sets of similarity p / q or more share one of their first n - ceil(n p / q) + 1 shingles, whatever the order is.
-    """
+def segment_rows(classes: DataFrame, width: int, probes: bool) -> DataFrame:
+    """(key, id, comp, peek): one row for each segment of each class, and with ``probes`` one for each member of the Hamming ball over its least decided bits."""
     import pyarrow as pa
 
-    hot = _typical(docs, shingle)
-    at = np.argsort(hot)
-    table, rank = hot[at], at + 1
+    balls = [list(c) for r in range(1, FLIPS + 1) for c in combinations(range(WEAK), r)] if probes else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, sizes, firsts = [], [], []
-            for x in b.column(1):
-                s = shingle_set(x.as_py(), shingle)
-                n = len(s)
-                ids.append(_set_id(s))
-                sizes.append(n)
-                if len(table) and n:
-                    i = np.minimum(np.searchsorted(table, s), len(table) - 1)
-                    s = s[np.argsort(np.where(table[i] == s, rank[i], 0), kind="stable")]
-                firsts.append(s[: n + (-n * p // q) + 1 if n else 0].view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
-            flat = pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "id", "n", "prefix"]
-            )
-
-    return docs.mapInArrow(run, "doc_id long, id long, n int, prefix array<long>")
-
-
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, set) of each row of ``docs`` (text, id) whose text has that id."""
+        for big in batches:
+            for lo in range(0, big.num_rows, 2048):
+                b = big.slice(lo, 2048)
+                ids, comp = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                own, weak, fp = (b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) for i in (2, 3, 4))
+                segments = own.shape[1]
+                bit = [np.int64(1) << (weak >> np.int64(6 * k) & np.int64(63)) for k in range(WEAK)]
+                values = [own, *(own ^ np.bitwise_or.reduce([bit[k] for k in ball]) for ball in balls)]
+                key = (np.stack(values, axis=2) | (np.arange(segments, dtype=np.int64) << np.int64(width))[None, :, None]).ravel()
+                # a word that the segment isn't part of
+                peek = fp[:, (np.arange(segments) * width // 64 + 2) % fp.shape[1]]
+                times = len(values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), *(pa.array(np.repeat(x, segments * times)) for x in (ids, comp)), pa.array(np.repeat(peek.ravel(), times))], ["key", "id", "comp", "peek"]
+                )
+
+    return classes.select("id", "comp", "own", "weak", "fp").mapInArrow(run, "key long, id long, comp long, peek long")
+
+
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(id, set) of each row (id, text) whose text has that id."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x, i in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                s = shingle_set(x.as_py(), shingle)
-                if _set_id(s) == i:  # not another text of the same doc_id
+            for i, s in zip(b.column(0).to_pylist(), shingle_sets_of(b.column(1), shingle), strict=True):
+                if _set_id(s) == i:  # not another text of the same ref
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["id", "set"])
 
-    return docs.select("text", "id").mapInArrow(run, "id long, set array<long>")
+    return rows.select("id", "text").mapInArrow(run, "id long, set array<long>")
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, shingle: int, p: int, q: int, cap: int = 8) -> DataFrame:
-    """Links (src < dst) between ids of ``prints`` (of :func:`shingle_prefixes`), all of a similarity (Jaccard) of
-    p / q or more; every pair so similar is connected, though not each by a link of its own.
+def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int, similarity: Fraction) -> DataFrame:
+    """Links (src < dst) between ids of ``classes``, all of ``similarity`` (Jaccard) or more.
 
-    A pair that shares a shingle of both prefixes, and that sizes, places and whole prefixes do not exclude, is verified
-    on its whole sets. In a key (shingle) with more than ``cap`` texts not all pairs are formed at first: each text is
-    verified against a center, in later rounds against others, and what this connects is not compared again. Each text
-    that stays apart from its key's center is compared with all texts of the key that it isn't connected to.
+    A table entry (segment and value) may hold any number of texts, so not all pairs within one are formed: each text of an
+    entry and each probe of it is compared with the entry's center, the text that shares most entries with others.
+    First each text meets the one best center of its own entries; what that connects isn't compared again. Then texts and
+    their probes meet the centers that they aren't connected to, and at last, of those that stay apart from an entry's
+    center, each meets a center elected among them. So rows grow with the texts, whatever an entry holds. Pairs are verified
+    over all bits of the fingerprints (three standard deviations beyond the mean distance at ``similarity``), then on their
+    sets. A similar pair is lost if no segment meets it, or if each entry that it meets in has a center that neither is
+    connected to; README has the measured recall.
     """
     from .components import connected_components
 
-    copies = prints.groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("id", "low")
-    one = prints.join(copies, "id", "left").where("low IS NULL OR doc_id = low")
-    post = one.select("doc_id", "id", "n", F.posexplode("prefix").alias("pos", "key"))
-    shared = materialize(post.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "shared-keys")
-    live = materialize(post.join(shared, "key"), "live")
-    discard(shared)
-    release(docs.sparkSession)
-    live = live.select("id", "n", "pos", "key", "texts")
-    one_of = lambda df: df.select(F.least("id", "o_id").alias("src"), F.greatest("id", "o_id").alias("dst")).distinct()
-    may = (F.least("n", "o_n") * q >= F.greatest("n", "o_n") * p) & (
-        F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) * (p + q) >= (F.col("n") + F.col("o_n")) * p
-    )
+    p, q = similarity.numerator, similarity.denominator
+    share = differing_share(p / q)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # shared shingles are in both prefixes, or behind the one that ends first
-        head = lambda c: one.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("prefix").alias(f"{c}_head"))
-        behind = lambda c: F.col(f"{c}_n") - F.size(f"{c}_head")
-        most = F.size(F.array_intersect("src_head", "dst_head")) + F.greatest(behind("src"), behind("dst"))
-        close = pairs.join(head("src"), "src").join(head("dst"), "dst").where(most * (p + q) >= (F.col("src_n") + F.col("dst_n")) * p)
+        side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("fp").alias(f"{c}_fp"))
+        apart = F.aggregate(F.zip_with("src_fp", "dst_fp", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+        close = pairs.join(side("src"), "src").join(side("dst"), "dst")
+        close = close.where((F.least("src_n", "dst_n") * q >= F.greatest("src_n", "dst_n") * p) & (apart <= F.size("src_fp") * 64 * share + 3 * F.sqrt(F.size("src_fp") * 64 * share * (1 - share))))
         close = materialize(close.select("src", "dst"), "close-pairs")
         ends = close.select(F.col("src").alias("id")).unionByName(close.select(F.col("dst").alias("id"))).distinct()
-        need = materialize(one.select("id", "doc_id").join(ends, "id", "left_semi").distinct(), "need")
-        sets = materialize(shingle_sets(docs.join(need, "doc_id"), shingle), "sets")
-        if not sets.groupBy("id").count().where("count > 1").isEmpty():
+        need = materialize(classes.select("id", F.col("low").alias("ref")).join(ends, "id", "left_semi"), "need")
+        sets = materialize(shingle_sets(rows.join(need, "ref"), shingle), "sets")
+        if not sets.groupBy("id").count().where("count > 1").isEmpty():  # rows that repeat ref and text
             sets = materialize(sets.dropDuplicates(["id"]), "sets")
-        side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"{c}_set"))
+        release(rows.sparkSession)
+        part = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"{c}_set"))
         both = F.size(F.array_intersect("src_set", "dst_set"))
         alike = both * q >= (F.size("src_set") + F.size("dst_set") - both) * p
-        out = materialize(close.join(side("src"), "src").join(side("dst"), "dst").where(alike).select("src", "dst"), "alike")
-        discard(sets)
-        release(docs.sparkSession)
+        out = materialize(close.join(part("src"), "src").join(part("dst"), "dst").where(alike).select("src", "dst"), "alike")
+        for x in (close, need, sets):
+            discard(x)
+        release(rows.sparkSession)
         return out
 
-    def other(df: DataFrame) -> DataFrame:
-        return df.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "pos", "comp")])
-
-    def known(df: DataFrame) -> DataFrame:
-        return df.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
-    crowd = live.where(F.col("texts") > cap)
-    links = None
-    if crowd.isEmpty():
-        live = live.withColumn("comp", F.col("id"))
-    else:
-        heat = crowd.groupBy("id").agg(F.count("*").alias("heat"))
-        crowd = materialize(crowd.join(heat, "id").withColumn("comp", F.col("id")), "crowd")
-        for k in range(ROUNDS):
-            choice = F.struct("heat", "id") if k == 0 else F.struct(F.xxhash64("id", "key", F.lit(k)), "id")
-            center = materialize(crowd.groupBy("key").agg(F.max_by(F.struct("id", "n", "pos", "comp"), choice).alias("c")).select("key", "c.*"), "centers")
-            stars = verified(materialize(one_of(crowd.join(other(center), "key").where((F.col("comp") != F.col("o_comp")) & may)), "stars"))
-            links = materialize(stars if links is None else links.unionByName(stars), "verified-stars")
-            comp = materialize(connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp")), "star-groups")
-            crowd = materialize(known(crowd), "crowd")
-        live = known(live)
-    live = materialize(live, "live-and-groups")
-    few, many = live.where(F.col("texts") <= cap), live.where(F.col("texts") > cap)
-    met = lambda a, b: a.join(other(b), "key").where((F.col("comp") != F.col("o_comp")) & may)
-    pairs = one_of(met(few, few).where("id < o_id"))
-    if links is not None:
-        main = materialize(many.groupBy("key").agg(F.mode("comp", True).alias("main")), "main-groups")
-        apart = materialize(many.join(main, "key").where("comp <> main").drop("main"), "apart")
-        pairs = pairs.unionByName(one_of(met(apart, many))).distinct()
-    rest = verified(materialize(pairs, "pairs"))
-    return rest if links is None else links.unionByName(rest)
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, group_id) for each row of ``docs``: group_id is the least doc_id reachable over pairs of texts whose
-    sets of word shingles have a similarity (Jaccard) of ``similarity`` or more, all of them and no others; texts
-    without words are alike. Null doc_ids have a null group. Shingles and sets are told apart by 64-bit hashes."""
+    def grouped(links: DataFrame) -> DataFrame:
+        return connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
+
+    def centers(table: DataFrame) -> DataFrame:
+        best = F.max_by(F.struct("id", "comp", "peek"), F.struct("heat", "id"))
+        out = table.groupBy("key").agg(best.alias("c")).select("key", F.col("c.id").alias("c_id"), F.col("c.comp").alias("c_comp"), F.col("c.peek").alias("c_peek"))
+        return materialize(out, "centers")
+
+    near = F.bit_count(F.col("peek").bitwiseXOR(F.col("c_peek"))) <= 64 * share + 3.5 * sqrt(64 * share * (1 - share))
+    pair = (F.least("id", "c_id").alias("src"), F.greatest("id", "c_id").alias("dst"))
+
+    alone = classes.withColumn("comp", F.col("id"))
+    table = materialize(segment_rows(alone, width, False), "segments")
+    crowded = materialize(table.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "crowded")
+    heat = materialize(table.join(crowded, "key").groupBy("id").agg(F.sum("texts").alias("heat")), "heat")
+    warm = table.join(crowded.select("key"), "key", "left_semi").join(heat, "id")
+    best = centers(warm)
+    stars = table.join(best, "key").where((F.col("id") != F.col("c_id")) & near).join(heat.select(F.col("id").alias("c_id"), "heat"), "c_id")
+    stars = stars.groupBy("id").agg(F.max_by("c_id", F.struct("heat", "c_id")).alias("c_id"))
+    links = verified(materialize(stars.select(*pair).distinct(), "stars"))
+    for x in (table, crowded, best):
+        discard(x)
+
+    known = materialize(alone.drop("comp").join(grouped(links), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "grouped-classes")
+    table = segment_rows(known, width, False).join(heat, "id", "left").withColumn("heat", F.coalesce("heat", F.lit(0)))
+    best = centers(table)
+    met = segment_rows(known, width, True).join(best, "key").where((F.col("comp") != F.col("c_comp")) & near)
+    met = materialize(met.select("key", "id", "comp", "peek", "c_id"), "met")
+    # of those in an entry itself that are apart from its center, another center
+    second = centers(met.join(table.select("key", "id", "heat"), ["key", "id"]))
+    again = met.drop("c_id").join(second, "key").where((F.col("comp") != F.col("c_comp")) & near)
+    rest = verified(materialize(met.select(*pair).unionByName(again.select(*pair)).distinct(), "pairs"))
+    for x in (known, best, met, second, heat):
+        discard(x)
+    return links.unionByName(rest)
+
+
+def similar_classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(ref, leader) for each row (ref, text): the least ref of its group. Texts are linked if their sets of word shingles
+    have a similarity (Jaccard) of ``similarity`` or more; those without words are alike. ``ref`` may be of any type that
+    has an order; rows of a null ref take no part and are not returned."""
     from .components import connected_components
 
-    ship(docs.sparkSession)
-    ratio = Fraction(str(similarity))
-    p, q = ratio.numerator, ratio.denominator
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    some = rows.where("doc_id IS NOT NULL")
-    prints = materialize(shingle_prefixes(some, shingle, p, q), "shingle-prefixes")
-    member = connected_components(similar_links(some, prints, shingle, p, q)).withColumnsRenamed({"node": "id"})
-    classes = materialize(prints.groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "classes")
-    least = materialize(member.join(classes, "id").groupBy("component").agg(F.min("low").alias("group_id")), "least")
-    moved = member.join(least, "component").select("id", "group_id")
+    ship(rows.sparkSession)
+    rows = rows.where("ref IS NOT NULL")
+    width, segments = layout(rows.count(), similarity)
+    prints = materialize(wide_prints(rows, shingle, width, segments), "wide-fingerprints")
+    firsts = [F.first(c).alias(c) for c in ("n", "own", "weak", "fp")]  # equal sets have equal ones
+    classes = materialize(prints.groupBy("id").agg(F.min("ref").alias("low"), F.count("*").alias("copies"), *firsts), "classes")
+    prints = prints.select("ref", "id")
+    member = connected_components(similar_links(rows, classes, shingle, width, Fraction(str(similarity)))).withColumnRenamed("node", "id")
+    least = materialize(member.join(classes.select("id", "low"), "id").groupBy("component").agg(F.min("low").alias("leader")), "least")
+    moved = member.join(least, "component").select("id", "leader")
     group = materialize(
-        classes.join(moved, "id", "left").where("n > 1 OR group_id IS NOT NULL").select("id", F.coalesce("group_id", "low").alias("group_id")), "groups"
+        classes.select("id", "low", "copies").join(moved, "id", "left").where("copies > 1 OR leader IS NOT NULL").select("id", F.coalesce("leader", "low").alias("leader")), "groups"
     )
-    return prints.select("doc_id", "id").join(group, "id", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"))
+    for x in (classes, least):
+        discard(x)
+    return prints.join(group, "id", "left").select("ref", F.coalesce("leader", "ref").alias("leader"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, group_id) for each row of ``docs`` with a doc_id: the least doc_id of its group in :func:`similar_classes`."""
+    out = similar_classes(docs.select(F.col("doc_id").cast("long").alias("ref"), F.col("text").cast("string").alias("text")), shingle, similarity)
+    return out.select(F.col("ref").alias("doc_id"), F.col("leader").alias("group_id"))
