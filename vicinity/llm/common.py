@@ -140,6 +140,24 @@ def carry(docs: DataFrame) -> DataFrame:
     return docs.select(*out, *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
 
 
+def live_groups(rows: DataFrame, name: str) -> DataFrame:
+    """The rows (a, c, multi, twice, doc_id, pos, ...) whose key ``a`` several of them have, or one has with ``multi`` or
+    ``twice``, with ``some`` (the key has several c) and, of the rows of the same (a, c): ``twice``, ``low`` and ``high`` (doc_id, pos).
+
+    Keys are aggregated before the shuffle and joined back to their rows, and adaptive execution splits the rows of a hot key.
+    """
+    here = F.struct("doc_id", "pos")
+    key = rows.groupBy("a").agg(F.count("*").alias("n"), ((F.min("c") != F.max("c")) | F.max("multi")).alias("some"), F.max("twice").alias("any")).where("n > 1 OR some OR any")
+    live = materialize(rows.drop("multi").join(key.select("a", "some"), "a"), name)
+    whole = live.groupBy("a", "c").agg(F.max("twice").alias("twice"), F.min(here).alias("low"), F.max(here).alias("high"))
+    return live.drop("twice").join(whole, ["a", "c"])
+
+
+def place() -> Column:
+    """What tells rows that share a doc_id apart: 31 bits of a hash of doc_id and text, as the upper half of a position."""
+    return F.shiftleft(row_key()[0].bitwiseAND(F.lit((1 << 31) - 1)), 32).alias("place")
+
+
 # --- block-wise text -------------------------------------------------------------------------
 
 

@@ -4,20 +4,21 @@ Each word is scored for each language by byte n-grams (1 to 3 inside the word, m
 by the whole word; the script of its letters narrows the languages first. Viterbi over the words, with a
 penalty for each switch, labels spans; the language that covers most bytes of words is the document's.
 
-The model counts n-grams in at most ``sample`` training documents per language (in expectation), chosen
-by a hash of the doc_id. Scripts that a language uses for less than ``SCRIPT_SHARE`` of its letters are
+The model counts n-grams in at most ``sample`` training documents per language and a bounded number of bytes (both in
+expectation), chosen by a hash of the doc_id. Scripts that a language uses for less than ``SCRIPT_SHARE`` of its letters are
 not its own; a word in a script that no language owns may be any.
 
 Defined results: a null text, or one without a letter (Unicode L), is ``und`` with score 0 and no spans;
-equal coverage goes to the language that sorts first; with nothing to learn from, every text is ``und``.
+equal coverage goes to the language that sorts first; with nothing to learn from, every text is ``und``. Rows repeat as given;
+a row with a null doc_id gets a prediction and is not learned from; other columns don't matter.
 The score is the share of the words' bytes that the spans of the language cover.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -42,11 +43,21 @@ SCRIPTS = (
 _NAMES = tuple(sorted({s for _, s in SCRIPTS}))
 _FIRST = np.array([c for c, _ in SCRIPTS])
 _SCRIPT = np.array([_NAMES.index(s) for _, s in SCRIPTS])
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter (Unicode L: Lu, Ll, Lt, Lm, Lo); numbers such as U+00BD or U+2167 aren't."""
+    return any(map(str.isalpha, text or ""))
+
+
+@cache
+def _is_letter() -> np.ndarray:
+    """By code point."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def word_scripts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Script of each word: that of its first letter beyond U+02FF, or else Latin."""
+    """Script of each word: that of its first letter beyond U+02FF, or else Latin. Marks and punctuation have no script."""
     out = np.full(len(starts), _NAMES.index("Latin"))
     lead = np.flatnonzero(buf >= 0xCD)  # U+0340 and later
     if not len(lead):
@@ -55,6 +66,8 @@ def word_scripts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     c = b[lead]
     low = lambda k: b[lead + k] & 63
     cp = np.where(c < 0xE0, (c & 31) << 6 | low(1), np.where(c < 0xF0, (c & 15) << 12 | low(1) << 6 | low(2), (c & 7) << 18 | low(1) << 12 | low(2) << 6 | low(3)))
+    letter = _is_letter()[cp]
+    lead, cp = lead[letter], cp[letter]
     word = np.searchsorted(starts, lead, "right") - 1
     script = _SCRIPT[np.searchsorted(_FIRST, cp, "right") - 1]
     inside = (word >= 0) & (lead < ends[np.maximum(word, 0)])
@@ -170,15 +183,19 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     return label
 
 
-def fit(docs: DataFrame, sample: int = 1500) -> LanguageModel:
-    """Learn from rows with a language whose doc_id is not held out: at most ``sample`` (in expectation) per language."""
+def fit(docs: DataFrame, sample: int = 1500, sample_bytes: int = 64_000_000, languages: int = 200) -> LanguageModel:
+    """Learn from rows with a language whose doc_id is not held out: at most ``sample`` of each language and ``sample_bytes``
+    of text in all (both in expectation). More than ``languages`` languages are an error: the model has 1.8 MB for each."""
     known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
-    count = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not count:
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes")).limit(languages + 1).collect()
+    if not sizes:
         return LanguageModel([])
+    if len(sizes) > languages:
+        raise ValueError(f"over {languages} languages")
+    each = sample_bytes / len(sizes)
     share = F
-    for lang, n in sorted(count.items()):
-        share = share.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1.0, sample / n))))
+    for r in sorted(sizes, key=lambda r: r["lang"]):
+        share = share.when(F.col("lang") == r["lang"], F.lit(int(1_000_000 * min(1.0, sample / r["rows"], each / max(1, r["bytes"])))))
     rows = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < share).toArrow()
     rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "lang", "text")])
     return train(rows["text"], rows["lang"].to_pylist())
@@ -205,7 +222,7 @@ def _predict(batches: Iterator, model: LanguageModel, penalty: float) -> Iterato
         cover = np.bincount(doc * max(k, 1) + label, weight, minlength=len(texts) * max(k, 1)).reshape(len(texts), -1)
         total = cover.sum(1)
         best = cover.argmax(1)
-        known = np.array([bool(_LETTER.search(t.as_py() or "")) for t in texts], bool) & (total > 0) & (k > 0)
+        known = np.array([has_letter(t.as_py()) for t in texts], bool) & (total > 0) & (k > 0)
         lang = np.where(known, names[best] if k else "und", "und")
         share = np.where(known, cover[np.arange(len(texts)), best] / np.maximum(total, 1), 0.0)
         turn = np.ones(len(label), bool)
@@ -245,7 +262,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = SWITCH) ->
     """doc_id, lang_pred, score, spans (runs of words: start, end, lang) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # tables of fixed size per language
+    shared = spark.sparkContext.broadcast(model)  # tables of fixed size for each of a bounded number of languages
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(
         lambda b: _predict(b, shared.value, penalty), "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"

@@ -211,6 +211,8 @@ WIDE = 8
 WEAK, FLIPS = 4, 2
 #: The share of pairs just at the similarity threshold that segments are laid out to meet.
 MEET = 0.965
+#: Size of the bitmap of refs whose sets are asked for.
+SIEVE_BITS = 1 << 26
 _LOWER_BYTES = np.frombuffer(_LOWER, np.uint8)
 
 
@@ -320,17 +322,28 @@ def segment_rows(classes: DataFrame, width: int, probes: bool) -> DataFrame:
     return classes.select("id", "comp", "own", "weak", "fp").mapInArrow(run, "key long, id long, comp long, peek long")
 
 
-def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(id, set) of each row (id, text) whose text has that id."""
+def shingle_sets(rows: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
+    """(id, set) of the rows (ref, text) whose ref is in ``wanted`` (ref), and of a few others.
+
+    The refs wanted go to all tasks as a bitmap of hashes, SIEVE_BITS whatever their number is, so that no text is shuffled;
+    the fuller it is, the more sets come that nobody asked for.
+    """
     import pyarrow as pa
 
+    place = lambda: F.pmod(F.xxhash64("ref"), F.lit(SIEVE_BITS))
+    filled = wanted.select(place().alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    sieve = np.zeros(SIEVE_BITS // 64, np.int64)
+    sieve[filled["word"].to_numpy()] = filled["bits"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(sieve)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, s in zip(b.column(0).to_pylist(), shingle_sets_of(b.column(1), shingle), strict=True):
-                if _set_id(s) == i:  # not another text of the same ref
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["id", "set"])
+            at = b.column(0).to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool)))
+            for s in shingle_sets_of(b.column(1), shingle):
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s)], pa.int64()), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["id", "set"])
 
-    return rows.select("id", "text").mapInArrow(run, "id long, set array<long>")
+    return rows.select(place().alias("at"), "text").mapInArrow(run, "id long, set array<long>")
 
 
 def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int, similarity: Fraction) -> DataFrame:
@@ -357,16 +370,15 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
         close = close.where((F.least("src_n", "dst_n") * q >= F.greatest("src_n", "dst_n") * p) & (apart <= F.size("src_fp") * 64 * share + 3 * F.sqrt(F.size("src_fp") * 64 * share * (1 - share))))
         close = materialize(close.select("src", "dst"), "close-pairs")
         ends = close.select(F.col("src").alias("id")).unionByName(close.select(F.col("dst").alias("id"))).distinct()
-        need = materialize(classes.select("id", F.col("low").alias("ref")).join(ends, "id", "left_semi"), "need")
-        sets = materialize(shingle_sets(rows.join(need, "ref"), shingle), "sets")
-        if not sets.groupBy("id").count().where("count > 1").isEmpty():  # rows that repeat ref and text
+        sets = materialize(shingle_sets(rows, shingle, classes.select("id", F.col("low").alias("ref")).join(ends, "id", "left_semi")), "sets")
+        if not sets.groupBy("id").count().where("count > 1").isEmpty():
             sets = materialize(sets.dropDuplicates(["id"]), "sets")
         release(rows.sparkSession)
         part = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"{c}_set"))
         both = F.size(F.array_intersect("src_set", "dst_set"))
         alike = both * q >= (F.size("src_set") + F.size("dst_set") - both) * p
         out = materialize(close.join(part("src"), "src").join(part("dst"), "dst").where(alike).select("src", "dst"), "alike")
-        for x in (close, need, sets):
+        for x in (close, sets):
             discard(x)
         release(rows.sparkSession)
         return out

@@ -15,13 +15,14 @@ Level 2 extends the candidates alone to the full length and compares full window
 length) until no candidates survive; the removal needs no more than the full length.
 
 Each map block keeps one row of each half-window (or window) for the shuffle, its first; what else
-the block holds of it is decided in the block. So a passage that a third of all documents share
-sends one row per block, not one per document.
+the block holds of it is decided in the block and goes past the shuffle. So a passage that a third of all documents
+share sends one row per block, not one per document; those are aggregated before the shuffle, and joined back in
+parts if they are many.
 
 Defined results: a null or empty text has no words and stays empty; documents shorter than the
 window lose nothing; a row with a null doc_id is returned whole and takes no part; rows that share
-doc_id and text get the same result; rows that share a doc_id but not the text are taken for one
-document, whose word positions are judged together. Other columns come back in ``rest``.
+doc_id and text are one document and get the same result; rows that share a doc_id but not the text are
+documents of their own, in an order that a hash of the text gives. Other columns come back in ``rest``.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, bucketed, carry, materialize, mix, release, ship, signed, sliding_argmin, text_blocks, words_of
+from .common import Roller, bucketed, carry, discard, live_groups, materialize, mix, place, release, ship, signed, sliding_argmin, text_blocks, words_of
 
 _SPACED_WORD = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
-_MARKS = "flag int, a long, c long, multi boolean, doc_id long, pos int, m int"
+_MARKS = "flag int, a long, c long, multi boolean, twice boolean, doc_id long, pos long, m int"
 
 
 class _Words:
@@ -67,7 +68,7 @@ def _chunks(batches: Iterator, window: int) -> Iterator:
     half = (window + 1) // 2
     rollers = _rollers()
     for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
+        ids, place = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
         for lo, _, buf, off in text_blocks(b.column(1)):
             w = _Words(buf, off, rollers)
             if w.n < window:
@@ -83,7 +84,7 @@ def _chunks(batches: Iterator, window: int) -> Iterator:
             m = np.diff(np.append(new, len(start)))
             start, doc, a = start[new], doc[new], gram[pick[new]]
             c = w.hash(start, start + m - 1 + window, 1)
-            pos = start - w.first[doc]
+            pos = start - w.first[doc] + place[lo + doc]
             doc_id = ids[lo + doc].astype(np.int64)
             # one row of each half-window stays open: its first in this block
             order = np.lexsort((pos, doc_id, a))
@@ -97,10 +98,9 @@ def _chunks(batches: Iterator, window: int) -> Iterator:
             flag = np.where(lead | twin, 0, np.where(again, 1, 2)).astype(np.int32)
             multi = np.zeros(group[-1] + 1, bool)
             multi[group[~same]] = True
-            a = np.where(flag == 0, a, mix(a + doc_id.view(np.uint64) * np.uint64(31) + pos.astype(np.uint64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flag), pa.array(signed(a)), pa.array(signed(c)), pa.array(multi[group]), pa.array(doc_id), pa.array(pos.astype(np.int32)), pa.array(m.astype(np.int32))],
-                ["flag", "a", "c", "multi", "doc_id", "pos", "m"],
+                [pa.array(flag), pa.array(signed(a)), pa.array(signed(c)), pa.array(multi[group]), pa.array(np.zeros(len(a), bool)), pa.array(doc_id), pa.array(pos), pa.array(m.astype(np.int32))],
+                ["flag", "a", "c", "multi", "twice", "doc_id", "pos", "m"],
             )
 
 
@@ -116,6 +116,13 @@ def _spans(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(n)]), flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
 
 
+def _own(so: np.ndarray, sp: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the spans listed for each row: which are of the row's own place, their rows, and their positions without it."""
+    row = np.repeat(np.arange(len(place)), np.diff(so))
+    keep = (sp >> 32) == (place[row] >> 32)
+    return keep, row[keep], sp[keep] & 0xFFFFFFFF
+
+
 def expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[i], start[i] + 1, ... (count[i] of them) for each i."""
     total = int(count.sum())
@@ -128,31 +135,30 @@ def _windows(batches: Iterator, window: int) -> Iterator:
 
     rollers = _rollers()
     for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        so, sp, sm = _spans(b.column(2))
+        ids, place = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        so, sp, sm = _spans(b.column(3))
+        keep, row, sp = _own(so, sp, place)
+        sm = sm[keep].astype(np.int64)
         for lo, hi, buf, off in text_blocks(b.column(1)):
             w = _Words(buf, off, rollers)
-            a, z = so[lo], so[hi]
-            doc = np.repeat(np.arange(hi - lo), np.diff(so[lo : hi + 1]))
-            count = sm[a:z].astype(np.int64)
-            pos, doc = expand(sp[a:z].astype(np.int64), count), np.repeat(doc, count)
+            a, z = np.searchsorted(row, (lo, hi))
+            pos, doc = expand(sp[a:z], sm[a:z]), np.repeat(row[a:z] - lo, sm[a:z])
             inside = pos + window <= (w.first[doc + 1] - w.first[doc])
             pos, doc = pos[inside], doc[inside]
             if not len(pos):
                 continue
             at = w.first[doc] + pos
             h1, h2 = w.hash(at, at + window), w.hash(at, at + window, 1)
-            doc_id = ids[lo + doc].astype(np.int64)
+            doc_id, pos = ids[lo + doc].astype(np.int64), pos + place[lo + doc]
             order = np.lexsort((pos, doc_id, h2, h1))
             h1, h2, doc_id, pos = h1[order], h2[order], doc_id[order], pos[order]
             lead = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
             head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
             flag = ((doc_id != doc_id[head]) | (pos != pos[head])).astype(np.int32)
             shared = np.bincount(np.cumsum(lead) - 1, flag)[np.cumsum(lead) - 1] > 0
-            h1 = np.where(flag == 0, h1, mix(h1 + doc_id.view(np.uint64) * np.uint64(31) + pos.astype(np.uint64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flag), pa.array(signed(h1)), pa.array(signed(h2)), pa.array(shared), pa.array(doc_id), pa.array(pos.astype(np.int32))],
-                ["flag", "h1", "h2", "shared", "doc_id", "pos"],
+                [pa.array(flag), pa.array(signed(h1)), pa.array(signed(h2)), pa.array(np.zeros(len(h1), bool)), pa.array(shared), pa.array(doc_id), pa.array(pos)],
+                ["flag", "a", "c", "multi", "twice", "doc_id", "pos"],
             )
 
 
@@ -161,43 +167,26 @@ def _per_document(marks: DataFrame) -> DataFrame:
 
 
 def _level(text: DataFrame, candidates: DataFrame, window: int, name: str) -> DataFrame:
-    """Candidate windows (doc_id, pos, m) at full length: (doc_id, pos, first, repeated)."""
-    joined = text.select("doc_id", "text").join(_per_document(candidates), "doc_id")
-    rows = joined.mapInArrow(
-        lambda batches: _windows(batches, window), "flag int, h1 long, h2 long, shared boolean, doc_id long, pos int"
-    )
-    key = Window.partitionBy("flag", "h1", "h2")
-    return materialize(
-        rows.select(
-            "doc_id", "pos",
-            (F.struct("doc_id", "pos") == F.min(F.struct("doc_id", "pos")).over(key)).alias("lead"),
-            (F.count("*").over(key) > 1).alias("several"), F.max("shared").over(key).alias("shared"), "flag",
-        ).select(
-            "doc_id", "pos", ((F.col("flag") == 0) & F.col("lead")).alias("first"), ((F.col("flag") == 1) | F.col("several") | F.col("shared")).alias("repeated")
-        ),
-        name,
+    """Candidate windows (doc_id, pos, m) at full length: (doc_id, pos, first, repeated) of those that are repeated."""
+    joined = text.select("doc_id", "text", place()).join(_per_document(candidates), "doc_id")
+    rows = materialize(
+        joined.mapInArrow(lambda batches: _windows(batches, window), "flag int, a long, c long, multi boolean, twice boolean, doc_id long, pos long"), f"{name}-rows"
     )
+    here, key = F.struct("doc_id", "pos"), F.struct("a", "c")  # both hashes tell windows apart here
+    open_rows = rows.where("flag = 0").select(key.alias("a"), F.lit(0).alias("c"), "multi", "twice", "doc_id", "pos")
+    met = live_groups(open_rows, f"{name}-live")
+    met = met.where((F.col("low") != F.col("high")) | F.col("twice")).select("doc_id", "pos", (here == F.col("low")).alias("first"), F.lit(True).alias("repeated"))
+    return materialize(met.unionByName(rows.where("flag = 1").select("doc_id", "pos", F.lit(False).alias("first"), F.lit(True).alias("repeated"))), name)
 
 
 def repeated_windows(text: DataFrame, window: int) -> DataFrame:
     """(doc_id, pos, m): ranges of window starts whose windows occurred earlier. ``text`` is bucketed by doc_id."""
-    marks = (
-        text.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(lambda b: _chunks(b, window), _MARKS)
-        .repartition("flag", "a").sortWithinPartitions("flag", "a", "c", "doc_id", "pos")
-    )
-    half, chunk = Window.partitionBy("flag", "a"), Window.partitionBy("flag", "a", "c")
-    marks = marks.select(
-        "flag", "a", "c", "doc_id", "pos", "m",
-        ((F.min("c").over(half) != F.max("c").over(half)) | F.max("multi").over(half)).alias("multi"),
-    ).select("flag", "doc_id", "pos", "m", "multi", F.min(F.struct("doc_id", "pos")).over(chunk).alias("lead"))
-    later = F.col("lead") != F.struct("doc_id", "pos")
-    marks = materialize(
-        marks.select(
-            "doc_id", "pos", "m",
-            F.when((F.col("flag") == 1) | ((F.col("flag") == 0) & later), 1).when((F.col("flag") == 2) | F.col("multi"), 2).alias("kind"),
-        ).where("kind IS NOT NULL"),
-        "chunk-marks",
-    )
+    rows = materialize(text.where("doc_id IS NOT NULL").select("doc_id", "text", place()).mapInArrow(lambda b: _chunks(b, window), _MARKS), "chunks")
+    met = live_groups(rows.where("flag = 0").drop("flag"), "live-chunks")
+    marks = met.select("doc_id", "pos", "m", F.when(F.struct("doc_id", "pos") != F.col("low"), 1).when(F.col("some"), 2).alias("kind")).where("kind IS NOT NULL")
+    # what a block has settled by itself goes past the shuffle
+    marks = materialize(marks.unionByName(rows.where("flag > 0").select("doc_id", "pos", "m", F.col("flag").alias("kind"))), "chunk-marks")
+    discard(rows)
     release(text.sparkSession)
     full = _level(text, marks.where("kind = 2"), window, "window-marks")
     release(text.sparkSession)
@@ -211,7 +200,9 @@ def _remove(batches: Iterator, window: int, verbatim: bool) -> Iterator:
 
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for b in batches:
-        so, sp, sm = _spans(b.column(2))
+        so, sp, sm = _spans(b.column(3))
+        keep, row, sp = _own(so, sp, b.column(2).to_numpy(zero_copy_only=False))
+        sm, so = sm[keep], np.searchsorted(row, np.arange(b.num_rows + 1))
         texts, n_words, n_removed, spans = [], [], [], []
         for i, t in enumerate(b.column(1)):
             raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
@@ -235,8 +226,8 @@ def _remove(batches: Iterator, window: int, verbatim: bool) -> Iterator:
             n_removed.append(n - len(words))
             spans.append(runs)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, spans_type), *b.columns[3:]],
-            ["doc_id", "text", "n_words", "n_removed", "spans", *b.schema.names[3:]],
+            [b.column(0), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, spans_type), *b.columns[4:]],
+            ["doc_id", "text", "n_words", "n_removed", "spans", *b.schema.names[4:]],
         )
 
 
@@ -250,7 +241,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, verbatim: bool = False) -
     text = bucketed(carry(docs), "texts", "doc_id")
     covered = _per_document(repeated_windows(text, window))
     rest = [c for c in text.columns if c not in ("doc_id", "text")]
-    joined = text.join(covered, "doc_id", "left").select("doc_id", "text", "spans", *rest)
+    joined = text.join(covered, "doc_id", "left").select("doc_id", "text", place(), "spans", *rest)
     schema = "doc_id long, text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>" + "".join(
         f", rest {text.schema['rest'].dataType.simpleString()}" for _ in rest
     )
@@ -262,7 +253,7 @@ def longest_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     ship(docs.sparkSession)
     text = bucketed(carry(docs), "texts", "doc_id")
     n = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "))
-    candidates = text.where("doc_id IS NOT NULL").select("doc_id", F.lit(0).alias("pos"), n.alias("m")).where("m > 0")
+    candidates = text.where("doc_id IS NOT NULL").select("doc_id", place().alias("pos"), n.alias("m")).where("m > 0")
     out, length = [], window
     while not candidates.isEmpty():
         alive = _level(text, candidates, length, f"level-{length}").where("repeated").select("doc_id", "pos").distinct()

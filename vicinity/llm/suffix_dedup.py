@@ -18,11 +18,11 @@ and so on to single windows. So only the windows next to both ends of a repeat a
 by one, and few rows are shuffled for each repeat.
 
 Each map block sends one row of each key, its first, and settles the others itself: a passage that a
-third of all documents share sends one row per block.
+third of all documents share sends one row per block; those are aggregated before the shuffle.
 
 Defined results: a null text is empty and loses nothing; texts shorter than ``length`` lose nothing;
 a row with a null doc_id is returned whole and takes no part; rows that share doc_id and text are one
-document; rows that share a doc_id but not the text are judged together by position. Removal may cut
+document; rows that share a doc_id but not the text are documents of their own. Removal may cut
 a character, so what is kept is binary. Other columns come back in ``rest``.
 """
 
@@ -31,14 +31,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, bucketed, carry, materialize, mix, release, ship, signed, sliding_argmin, text_blocks
-from .substring_dedup import expand
+from .common import Roller, bucketed, carry, discard, live_groups, materialize, mix, place, release, ship, signed, sliding_argmin, text_blocks
+from .substring_dedup import _own, expand
 
 BLOCK = 1_000_000
-_ROWS = "flag int, a long, c long, multi boolean, twice boolean, doc_id long, pos int, m int, anc int"
+_ROWS = "flag int, a long, c long, multi boolean, twice boolean, doc_id long, pos long, m int, anc int"
 
 
 def _settle(a, c, doc_id, pos, m, anc):
@@ -56,9 +56,8 @@ def _settle(a, c, doc_id, pos, m, anc):
     flag = np.where(again, 1, np.where(same, 0, 2)).astype(np.int32)
     multi = np.bincount(group, ~same)[group] > 0
     twice = np.bincount(group, again)[group] > 0
-    a = np.where(flag == 0, a, mix(a + doc_id.view(np.uint64) * np.uint64(31) + pos.astype(np.uint64)))
     return pa.RecordBatch.from_arrays(
-        [pa.array(flag), pa.array(signed(a)), pa.array(signed(c)), pa.array(multi), pa.array(twice), pa.array(doc_id), *(pa.array(x.astype(np.int32)) for x in (pos, m, anc))],
+        [pa.array(flag), pa.array(signed(a)), pa.array(signed(c)), pa.array(multi), pa.array(twice), pa.array(doc_id), pa.array(pos), *(pa.array(x.astype(np.int32)) for x in (m, anc))],
         ["flag", "a", "c", "multi", "twice", "doc_id", "pos", "m", "anc"],
     )
 
@@ -66,7 +65,7 @@ def _settle(a, c, doc_id, pos, m, anc):
 def _phrases(batches: Iterator, length: int, gram: int) -> Iterator:
     first, second = Roller(0), Roller(1)
     for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
+        ids, place = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
         for lo, _, buf, off in text_blocks(b.column(1), BLOCK):
             n = len(buf)
             if n < length:
@@ -87,7 +86,7 @@ def _phrases(batches: Iterator, length: int, gram: int) -> Iterator:
             start, doc, pick = start[new], doc[new], pick[new]
             q = second.prefix(second.table[buf])
             c = second.of(q, start, start + m - 1 + length)
-            yield _settle(grams[pick], c, ids[lo + doc].astype(np.int64), start - off[doc], m, pick - off[doc])
+            yield _settle(grams[pick], c, ids[lo + doc].astype(np.int64), start - off[doc] + place[lo + doc], m, pick - off[doc])
 
 
 def _triples(column):
@@ -104,12 +103,13 @@ def _triples(column):
 def _bins(batches: Iterator, length: int, step: int) -> Iterator:
     first, second = Roller(0), Roller(1)
     for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        so, sp, sm, sa = _triples(b.column(2))
+        ids, place = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        so, sp, sm, sa = _triples(b.column(3))
+        keep, row, sp = _own(so, sp, place)
+        sm, sa = sm[keep], sa[keep]
         for lo, hi, buf, off in text_blocks(b.column(1), BLOCK):
-            x, z = so[lo], so[hi]
-            doc = np.repeat(np.arange(hi - lo), np.diff(so[lo : hi + 1]))
-            pos, m, anc = sp[x:z], sm[x:z], sa[x:z]
+            x, z = np.searchsorted(row, (lo, hi))
+            pos, m, anc, doc = sp[x:z], sm[x:z], sa[x:z], row[x:z] - lo
             inside = pos + m - 1 + length <= off[doc + 1] - off[doc]
             doc, pos, m, anc = doc[inside], pos[inside], m[inside], anc[inside]
             if not len(pos):
@@ -125,40 +125,36 @@ def _bins(batches: Iterator, length: int, step: int) -> Iterator:
             p, q = first.prefix(first.table[buf]), second.prefix(second.table[buf])
             core = base + anc - j * step
             a = mix(first.of(p, core, core - (step - 1) + length) + j.astype(np.uint64) * np.uint64(step > 1))
-            yield _settle(a, second.of(q, start, start + m - 1 + length), ids[lo + doc].astype(np.int64), start - base, m, anc)
+            yield _settle(a, second.of(q, start, start + m - 1 + length), ids[lo + doc].astype(np.int64), start - base + place[lo + doc], m, anc)
 
 
 def _judge(rows: DataFrame, name: str) -> DataFrame:
     """(doc_id, pos, m, anc, repeated, next): ``next`` rows go to the next level, as candidates or as
     the one witness of rows that are repeated whole while others have the same key."""
-    rows = rows.repartition("flag", "a").sortWithinPartitions("flag", "a", "c")
-    key, whole = Window.partitionBy("flag", "a"), Window.partitionBy("flag", "a", "c")
-    here = F.struct("doc_id", "pos")
-    rows = rows.select(
-        "*", ((F.min("c").over(key) != F.max("c").over(key)) | F.max("multi").over(key)).alias("some")
-    ).select("flag", "doc_id", "pos", "m", "anc", "some", F.max("twice").over(whole).alias("twice"), F.min(here).over(whole).alias("low"), F.max(here).over(whole).alias("high"))
-    is_open = F.col("flag") == 0
-    rows = rows.select(
-        "doc_id", "pos", "m", "anc",
-        ((F.col("flag") == 1) | (is_open & (F.col("twice") | (F.col("low") != F.col("high"))))).alias("repeated"),
-        ((F.col("flag") == 2) | (is_open & F.col("some") & (F.col("low") == here))).alias("next"),
+    rows = materialize(rows, f"{name}-rows")
+    what = ("doc_id", "pos", "m", "anc")
+    met = live_groups(rows.where("flag = 0").drop("flag"), f"{name}-live").select(
+        *what, (F.col("twice") | (F.col("low") != F.col("high"))).alias("repeated"), (F.col("some") & (F.col("low") == F.struct("doc_id", "pos"))).alias("next")
     )
-    return materialize(rows.where("repeated OR next"), name)
+    # what a block has settled by itself goes past the shuffle
+    out = materialize(met.unionByName(rows.where("flag > 0").select(*what, (F.col("flag") == 1).alias("repeated"), (F.col("flag") == 2).alias("next"))).where("repeated OR next"), name)
+    discard(rows)
+    return out
 
 
-def repeated_strings(text: DataFrame, length: int, gram: int = 16, steps: tuple[int, ...] = (48, 6, 1)) -> DataFrame:
+def repeated_strings(text: DataFrame, length: int, gram: int = 64, steps: tuple[int, ...] = (48, 6, 1)) -> DataFrame:
     """(doc_id, pos, m): ranges of starts of repeated strings. ``text`` is bucketed by doc_id."""
     if steps[-1] != 1:
         raise ValueError("the last step must be 1")
     gram = min(gram, length)
     steps = tuple(s for s in steps if s <= length)
     marks = _judge(
-        text.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(lambda b: _phrases(b, length, gram), _ROWS), "phrases"
+        text.where("doc_id IS NOT NULL").select("doc_id", "text", place()).mapInArrow(lambda b: _phrases(b, length, gram), _ROWS), "phrases"
     )
     out = marks.where("repeated").select("doc_id", "pos", "m")
     for step in steps:
         spans = marks.where("next").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "m", "anc")).alias("spans"))
-        joined = text.select("doc_id", "text").join(spans, "doc_id")
+        joined = text.select("doc_id", "text", place()).join(spans, "doc_id")
         marks = _judge(joined.mapInArrow(lambda b, s=step: _bins(b, length, s), _ROWS), f"bins-{step}")
         release(text.sparkSession)
         out = out.unionByName(marks.where("repeated").select("doc_id", "pos", "m"))
@@ -170,7 +166,9 @@ def _remove(batches: Iterator, length: int) -> Iterator:
 
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for b in batches:
-        so, sp, sm = _triples(b.column(2))
+        so, sp, sm = _triples(b.column(3))
+        keep, row, sp = _own(so, sp, b.column(2).to_numpy(zero_copy_only=False))
+        sm, so = sm[keep], np.searchsorted(row, np.arange(b.num_rows + 1))
         kept, n_bytes, n_removed, spans = [], [], [], []
         for i, t in enumerate(b.column(1)):
             raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
@@ -189,8 +187,8 @@ def _remove(batches: Iterator, length: int) -> Iterator:
             n_removed.append(n - len(raw))
             spans.append(runs)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, spans_type), *b.columns[3:]],
-            ["doc_id", "kept", "n_bytes", "n_removed", "spans", *b.schema.names[3:]],
+            [b.column(0), pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, spans_type), *b.columns[4:]],
+            ["doc_id", "kept", "n_bytes", "n_removed", "spans", *b.schema.names[4:]],
         )
 
 
@@ -200,7 +198,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     text = bucketed(carry(docs), "texts", "doc_id")
     covered = repeated_strings(text, length).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "m")).alias("spans"))
     rest = [c for c in text.columns if c not in ("doc_id", "text")]
-    joined = text.join(covered, "doc_id", "left").select("doc_id", "text", "spans", *rest)
+    joined = text.join(covered, "doc_id", "left").select("doc_id", "text", place(), "spans", *rest)
     schema = "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>" + "".join(
         f", rest {text.schema['rest'].dataType.simpleString()}" for _ in rest
     )
