@@ -104,3 +104,34 @@ def test_pivot_tree_finds_the_same(n, d, r, leaf, cover, seed):
     got = list(zip(*PivotTree(a, cover, leaf).query(q, r), strict=True))
     assert len(got) == len(set(got)) and set(got) == want
     assert set(zip(*within(q, a, r), strict=True)) == want
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_run_record_of_a_run(spark, tmp_path, method):
+    import json
+
+    rows = np.random.default_rng(4).normal(size=(150, 3)).tolist()
+    graph = points(spark, rows).neighbors(0.5, method, num_centers=5, chunk=32, shared=False)
+    graph.write_run_record(path := f"file://{tmp_path}/run.json")
+    record = json.loads(open(path.removeprefix("file://")).read())
+    assert record["num_points"] == 150 and record["num_edges"] == 150 + len(brute(rows, 0.5)) and record["runtime"] > 0
+    assert len(record["dist_comps"]) == len(record["comp_times"]) == len(record["points_read"]) == record["num_procs"]
+    work = graph.metrics().agg({"dist_comps": "sum", "points_read": "sum"}).first()
+    assert sum(record["dist_comps"]) == work["sum(dist_comps)"] > 0 and sum(record["points_read"]) == work["sum(points_read)"] >= 150
+    if method == "bf":  # each unordered pair of chunks once, chunks by themselves whole
+        assert 150 * 150 / 2 < sum(record["dist_comps"]) < 150 * 150
+    assert graph.written() is graph and edges(graph) == brute(rows, 0.5)
+
+
+def test_warns_of_cells_in_many_dimensions(spark, caplog):
+    p = points(spark, np.random.default_rng(6).normal(size=(100, 20)).tolist())
+    graph = p.neighbors(3.0, "cvor", num_centers=30)
+    assert "bf would do less" in caplog.text and edges(graph) == edges(p.neighbors(3.0, "bf"))
+
+
+@pytest.mark.parametrize("d", (1, 2, 3, 8, 9))
+def test_rotation(d):
+    from vicinity.sources.synth import rotation
+
+    turn = rotation(d, np.random.default_rng(d))
+    assert np.allclose(turn @ turn.T, np.eye(d)) and np.linalg.det(turn) == pytest.approx(1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 import time
 
@@ -25,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--output", help="edge file")
     p.add_argument("-j", "--json", help="run record")
     p.add_argument("-F", "--fixed", action="store_true", help="the number of centers is the total")
-    p.add_argument("-v", "--verbosity", type=int, default=1)
+    p.add_argument("-v", "--verbosity", type=int, choices=range(4), default=1, help="0: warnings; 1: the result; 2: what is run; 3: all")
     return p
 
 
@@ -33,6 +34,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(args)
     if not a.radius >= 0:
         parser().error("the radius must be 0 or more")
+    logging.basicConfig(level=logging.WARNING, format="%(name)s: %(message)s")
+    logging.getLogger("vicinity").setLevel((logging.WARNING, logging.WARNING, logging.INFO, logging.DEBUG)[a.verbosity])
     spark = spark or SparkSession.builder.appName("vicinity").getOrCreate()
     began = time.time()
     points = read_points(spark, a.input)

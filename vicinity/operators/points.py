@@ -55,8 +55,8 @@ class PointSet:
         return PointSet(self.df.join(ids.select("id"), "id", "left_semi"))
 
     def sample_ids(self, k: int, seed: int = 0) -> DataFrame:
-        """``k`` ids chosen by a seeded hash order: repeatable, whatever the partitions."""
-        return self.df.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k)
+        """``k`` ids chosen by the order of md5("id:seed"): repeatable, whatever the partitions or the engine."""
+        return self.df.select("id").orderBy(F.md5(F.concat_ws(":", "id", F.lit(seed))), "id").limit(k)
 
     def block_offsets(self, blocks: int) -> DataFrame:
         """(block, size, start): consecutive ids in ``blocks`` even blocks, earlier ones one larger where it doesn't divide."""

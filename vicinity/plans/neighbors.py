@@ -9,6 +9,7 @@ auto    cvor if a sample tells that points fall into few cells, else bf
 
 from __future__ import annotations
 
+import logging
 import time
 
 from pyspark.sql import DataFrame
@@ -18,20 +19,24 @@ from ..functions.distance import within
 from ..operators.graph import NeighborGraph
 from ..operators.pivots import tree_kernel
 from ..operators.points import PointSet
-from ..operators.tiles import CHUNK, MAX_SHARED_BYTES, against_shared, all_pairs, by_cell
+from ..operators.tiles import CHUNK, FOUND, MAX_SHARED_BYTES, against_shared, all_pairs, by_cell
 from ..operators.voronoi import Centers, cells, farthest_centers, ghosts
 from ..runtime import materialize
 
 METHODS = ("auto", "bf", "ct", "ctrma", "cvor", "gvor")
 #: Points that ``auto`` looks at, and the average number of cells per point up to which cells pay.
 SAMPLE, CELLS_PER_POINT = 2000, 0.5
+#: Dimensions beyond which cell joins look at a sample first, and the cells per point beyond which they warn.
+MANY_DIMENSIONS, TOO_MANY_CELLS = 16, 8
+
+log = logging.getLogger("vicinity")
 
 
 def neighbors(
     points: PointSet, radius: float, method: str = "auto", num_centers: int | None = None, seed_id: int | None = None, leaf_size: int = 10,
-    cover: float = 1.55, assignment: str = "multiway", balancing: str = "static", queries_per_tree: int = -1, chunk: int = CHUNK,
+    cover: float = 1.55, assignment: str = "multiway", balancing: str = "static", queries_per_tree: int = -1, chunk: int = CHUNK, shared: bool = True,
 ) -> NeighborGraph:
-    """The graph of pairs at distance <= ``radius`` (as float32). ``num_centers`` is the total; the default grows with the points."""
+    """The graph of pairs at distance <= ``radius`` (as float32). ``num_centers`` is the total; the default grows with the points. ``shared`` False: tiles even of few points."""
     if radius is None or not radius >= 0:
         raise ValueError("a radius of 0 or more is needed")
     for name, value, known in (("method", method, METHODS), ("assignment", assignment, ("static", "multiway")), ("balancing", balancing, ("static", "steal"))):
@@ -39,31 +44,34 @@ def neighbors(
             raise ValueError(f"{name} must be one of {', '.join(known)}")
     began = time.time()
     spark = points.df.sparkSession
-    n = points.df.count()
+    n, components = points.df.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
     cores = spark.sparkContext.defaultParallelism
     centers = None
     if method in ("auto", "cvor", "gvor") and n:
         m = num_centers or max(2, min(n // 100 + 1, 1024))
-        if method == "auto" and n <= 4 * CHUNK:
+        if method == "auto" and n <= 4 * chunk:
             method = "bf"
         else:
             centers = farthest_centers(points, m, seed_id)
             if method == "auto":
                 method = "cvor" if _ghost_rate(points, centers, radius, n) <= CELLS_PER_POINT else "bf"
+            elif components > MANY_DIMENSIONS * n and (rate := _ghost_rate(points, centers, radius, n)) > TOO_MANY_CELLS:
+                log.warning("%s repeats each point in %.0f further cells; bf would do less", method, rate)
+    log.info("%s: %d points, radius %s, %d centers", method, n, radius, len(centers.ids) if centers else 0)
     kernel = tree_kernel(cover, leaf_size, queries_per_tree)
     if not n:
-        edges = spark.createDataFrame([], "src long, dst long")
+        found = spark.createDataFrame([], FOUND)
     elif method in ("cvor", "gvor"):
-        edges = _voronoi(points, centers, radius, kernel, method, chunk)
-    elif method == "bf" and 4 * points.df.agg(F.sum(F.size("v"))).first()[0] <= MAX_SHARED_BYTES:
-        edges = against_shared(points.df, radius, within, cores)
+        found = _voronoi(points, centers, radius, kernel, method, chunk)
+    elif method == "bf" and shared and 4 * components <= MAX_SHARED_BYTES:
+        found = against_shared(points.df, radius, within, cores, counted=True)
     else:
-        edges = all_pairs(points.df, radius, within if method == "bf" else kernel, n, chunk, cores)
+        found = all_pairs(points.df, radius, within if method == "bf" else kernel, n, chunk, cores, counted=True)
     parameters = {
         "method": method, "radius": radius, "cover": cover, "leaf_size": leaf_size, "num_centers": len(centers.ids) if centers else 0,
         "tree_assignment": assignment, "query_balancing": balancing, "queries_per_tree": queries_per_tree,
     }
-    return NeighborGraph(points, edges, parameters, time.time() - began)
+    return NeighborGraph(points, found, parameters, time.time() - began)
 
 
 def _ghost_rate(points: PointSet, centers: Centers, radius: float, n: int) -> float:
@@ -79,6 +87,7 @@ def _voronoi(points: PointSet, centers: Centers, radius: float, kernel, method:
     size = own.groupBy("cell").agg(F.count("*").alias("own"))
     both = twice.groupBy("cell").agg(F.count("*").alias("both"))
     sizes = both.join(size, "cell")
+    log.debug("cells: %s", sizes)
     if method == "cvor":
         return by_cell(twice, own.select("id", "v", "cell"), sizes.select("cell", F.col("both").alias("probes"), F.col("own").alias("builds")), radius, kernel, chunk)
     return by_cell(own.select("id", "v", "cell"), twice, sizes.select("cell", F.col("own").alias("probes"), F.col("both").alias("builds")), radius, kernel, chunk)

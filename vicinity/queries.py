@@ -48,6 +48,11 @@ def _edges(points: str, r: float) -> str:
     return f"{points}, e AS (SELECT a.id AS src, b.id AS dst FROM p a JOIN p b ON a.id <> b.id AND list_distance(a.v, b.v) <= CAST({r} AS FLOAT))"
 
 
+def _scaled_sql(x: str, base: int, units: list[str], last: str, suffix: str) -> str:
+    cases = " ".join(f"WHEN abs({x}) / {base}.0 ** {k} < {base} THEN format('{{:.1f}}{u}{suffix}', {x} / {base}.0 ** {k})" for k, u in enumerate(units))
+    return f"CASE {cases} ELSE format('{last}{suffix}', {x} / {base}.0 ** {len(units)}) END"
+
+
 _E64, _E2 = (f"WITH {_edges(*x)} " for x in ((_V, R64), (_P, R2)))
 
 
@@ -110,6 +115,30 @@ def eps_join_auto(spark, sf_dir):
     return _graph(parts(spark, sf_dir), "auto", R2).edges()
 
 
+@_query(_E64 + "SELECT * FROM e")
+def eps_join_tiles(spark, sf_dir):
+    """Shuffled tiles, as for points that are too many to go to all tasks whole."""
+    return _graph(vectors(spark, sf_dir), "bf", R64, chunk=128, shared=False).edges()
+
+
+@_query(_E2 + "SELECT * FROM e")
+def eps_join_auto_sampled(spark, sf_dir):
+    """The choice by a sample of points, as for points beyond a few chunks."""
+    return _graph(parts(spark, sf_dir), "auto", R2, chunk=256).edges()
+
+
+@_query(_E64 + f"SELECT 'bf' AS method, n AS num_points, m + n AS num_edges, {_scaled_sql('CAST(n * n AS DOUBLE)', 1000, ['', 'K', 'M', 'B', 'T', 'P'], '{:.2f}E', '')} AS dist_comps FROM (SELECT (SELECT count(*) FROM p) AS n, (SELECT count(*) FROM e) AS m)")
+def run_record_summary(spark, sf_dir):
+    """The summary of a run's own record, written and read again."""
+    from .runtime import scratch_path
+    from .sources.reports import read_records
+    from .sources.reports import run_summary as table
+
+    graph = _graph(vectors(spark, sf_dir), "bf", R64)
+    graph.write_run_record(path := scratch_path(spark, "record") + ".json")
+    return table(read_records(spark, path)).select("method", "num_points", "num_edges", "dist_comps")
+
+
 @_query(f"WITH {_edges(_P, 0)} SELECT * FROM e")
 def eps_join_r0(spark, sf_dir):
     return _graph(parts(spark, sf_dir), "cvor", 0).edges()
@@ -126,6 +155,12 @@ def radius_query_by_id(spark, sf_dir):
     return vectors(spark, sf_dir).radius_query_by_id(0, 1.25)
 
 
+@_query(_fps() + "SELECT cell, center_id FROM c")
+def fps_rounds(spark, sf_dir):
+    """The rounds on the executors, as for points that are too many for the driver."""
+    return voronoi.farthest_centers(parts(spark, sf_dir), M, local=False).df(spark).select("cell", "center_id")
+
+
 @_query(_fps() + "SELECT cell, center_id FROM c")
 def fps_centers(spark, sf_dir):
     return _centers(parts(spark, sf_dir)).df(spark).select("cell", "center_id")
@@ -254,28 +289,23 @@ def gather_by_ids(spark, sf_dir):
     return vectors(spark, sf_dir).gather(ids).df.select("id").join(labels, "id")
 
 
-@_query()
+@_query(f"WITH {_P} SELECT id FROM p ORDER BY md5(concat(id, ':7')), id LIMIT 100")
 def sample_ids(spark, sf_dir):
     return parts(spark, sf_dir).sample_ids(100, seed=7)
 
 
-def _scaled_sql(x: str, base: int, units: list[str], last: str, suffix: str) -> str:
-    cases = " ".join(f"WHEN abs({x}) / {base}.0 ** {k} < {base} THEN format('{{:.1f}}{u}{suffix}', {x} / {base}.0 ** {k})" for k, u in enumerate(units))
-    return f"CASE {cases} ELSE format('{last}{suffix}', {x} / {base}.0 ** {len(units)}) END"
-
-
 _BIG = "o_totalprice * pow(10, o_orderkey % 14)"
 
 
-@_query(f"SELECT o_orderkey, {_scaled_sql(f'CAST({_BIG} AS DOUBLE)', 1000, ['', 'K', 'M', 'B', 'T', 'P'], '{:.2f}E', '')} AS text FROM orders WHERE o_orderkey < 2000")
+@_query(f"SELECT o_orderkey, {_scaled_sql(f'CAST({_BIG} AS DOUBLE)', 1000, ['', 'K', 'M', 'B', 'T', 'P'], '{:.2f}E', '')} AS text FROM orders")
 def format_large_numbers(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 2000")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.select("o_orderkey", format_large_number(F.expr(_BIG)).alias("text"))
 
 
-@_query(f"SELECT o_orderkey, {_scaled_sql(f'CAST({_BIG} AS DOUBLE)', 1024, ['', 'K', 'M', 'G', 'T', 'P', 'E', 'Z'], '{:.1f}Y', 'B')} AS text FROM orders WHERE o_orderkey < 2000")
+@_query(f"SELECT o_orderkey, {_scaled_sql(f'CAST({_BIG} AS DOUBLE)', 1024, ['', 'K', 'M', 'G', 'T', 'P', 'E', 'Z'], '{:.1f}Y', 'B')} AS text FROM orders")
 def sizeof_fmt(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 2000")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.select("o_orderkey", format_bytes(F.expr(_BIG)).alias("text"))
 
 
@@ -328,6 +358,14 @@ def run_summary(spark, sf_dir):
     return table(_records(spark, sf_dir))
 
 
+@_query("SELECT DISTINCT (n_regionkey + 1)::BIGINT AS num_procs FROM nation")
+def process_counts(spark, sf_dir):
+    from .sources.reports import process_counts as counts
+    from .sources.reports import run_summary as table
+
+    return counts(table(_records(spark, sf_dir)))
+
+
 @_query(
     "WITH r AS (SELECT n_nationkey AS k, n_regionkey + 1 AS p FROM nation), x AS (SELECT k, unnest(range(p)) AS i FROM r) SELECT i::INTEGER AS rank, "
     "i / 4.0::DOUBLE + k AS comp_time, i / 4.0::DOUBLE + k AS steal_time, i / 4.0::DOUBLE + k AS poll_time, i / 4.0::DOUBLE + k AS response_time, i / 4.0::DOUBLE + k AS allreduce_time, "
@@ -348,10 +386,10 @@ def _round_trip(spark, sf_dir, ext: str) -> DataFrame:
         points = PointSet(points.df.withColumn("v", F.transform("v", lambda x: F.floor((x.cast("double") + 1) * 100).cast("float"))))
     path = scratch_path(spark, "points") + ext
     write_points(points, path)
-    return read_points(spark, path, 10, 300, partitions=4).df.select("id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+    return read_points(spark, path, partitions=4).df.select("id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
-_SUM = "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: {})), 4) AS total FROM embeddings WHERE vec_id >= 10 AND vec_id < 310"
+_SUM = "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: {})), 4) AS total FROM embeddings"
 
 
 @_query(_SUM.format("x::DOUBLE"))

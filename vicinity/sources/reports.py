@@ -10,7 +10,7 @@ from ..functions.fmt import basename, format_large_number, method_label
 RECORD = (
     "parameters struct<infile:string,method:string,radius:double,cover:double,leaf_size:bigint,num_centers:bigint,tree_assignment:string,"
     "query_balancing:string,queries_per_tree:bigint>, dist_comps array<bigint>, comm_times array<double>, comp_times array<double>, "
-    "idle_times array<double>, runtime double, num_points bigint, num_edges bigint, num_procs bigint, steal_attempts array<bigint>, "
+    "idle_times array<double>, points_read array<bigint>, runtime double, num_points bigint, num_edges bigint, num_procs bigint, steal_attempts array<bigint>, "
     "steal_successes array<bigint>, steal_services array<bigint>, my_steal_comp_time array<double>, my_steal_time array<double>, "
     "my_poll_time array<double>, my_response_time array<double>, my_allreduce_time array<double>"
 )
@@ -53,6 +53,11 @@ def scaling(summary: DataFrame) -> DataFrame:
     return summary.select(method_label(F.col("method"), F.col("query_balancing")).alias("label"), "num_procs", "runtime").orderBy("label", "num_procs")
 
 
+def process_counts(summary: DataFrame) -> DataFrame:
+    """(num_procs): the different numbers of processes, in order."""
+    return summary.select("num_procs").distinct().orderBy("num_procs")
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """CSV with a header."""
     summary.coalesce(1).write.mode("overwrite").csv(path, header=True)

@@ -12,11 +12,16 @@ from ..runtime import ship
 
 
 def rotation(d: int, rng: np.random.Generator) -> np.ndarray:
-    """A random rotation (orthogonal, determinant 1)."""
-    q, _ = np.linalg.qr(rng.normal(size=(d, d)))
-    if np.linalg.det(q) < 0:
-        q[:, -1] = -q[:, -1]
-    return q
+    """A random rotation (orthogonal, determinant 1): a product of reflections in random hyperplanes of growing subspaces."""
+    turn = np.eye(d)
+    for k in range(2, d + 1):
+        u = rng.normal(size=k)
+        u[0] += np.copysign(np.linalg.norm(u), u[0])
+        u /= np.linalg.norm(u)
+        turn[-k:] -= 2 * np.outer(u, u @ turn[-k:])
+    if d % 2 == 0:  # an odd number of reflections
+        turn[0] *= -1
+    return turn
 
 
 def blobs(spark: SparkSession, n: int, dim: int, ambient: int | None = None, centers: int = 80, seed: int = 0) -> PointSet:
