@@ -143,6 +143,24 @@ def test_suffix_dedup(spark, folder, texts):
         assert got[d].asDict() == {"doc_id": d, "n_bytes": len(r), "n_removed": int(gone.sum()), "n_spans": spans, "kept_sha256": sha(kept)}
 
 
+def test_prefix_free_figures(spark, texts):
+    from vicinity.llm.common import Roller
+    from vicinity.llm.suffix_dedup import prefix_free_figures
+
+    roll, found = Roller(0), []
+    for t in texts:
+        raw = (t or "").encode()
+        if not raw:
+            continue
+        p = roll.prefix(roll.table[np.frombuffer(raw, np.uint8)])
+        cut = [i for i in range(len(raw) - 7) if int(roll.of(p, np.array([i]), np.array([i + 8]))[0]) % 16 == 0]
+        cut = sorted({*cut, 0}) if raw else []
+        found += [raw[a : (b + 8)] for a, b in zip(cut, [*cut[1:], len(raw)], strict=True)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = prefix_free_figures(docs, 8, 16).first()
+    assert tuple(got) == (sum(len((t or "").encode()) for t in texts), len(found), len(set(found)), sum(map(len, set(found))))
+
+
 def test_simhash(spark, folder, texts):
     got, prints = run(spark, "op8_simhash", folder), []
     for t in texts:
@@ -360,13 +378,28 @@ def test_top_k_blocks():
     for n, d, scale in ((200, 5, 30), (64, 3, 2), (3, 4, 9), (500, 2, 10**7)):
         x, w = rng.integers(-scale, scale, (n, d)), rng.integers(-scale, scale, (20, d))
         ids, own = rng.permutation(n).astype(np.int64), np.arange(20)
-        at, got, score = block_top_k(x, ids, w, own, 5)
+        at, got, score, read = block_top_k(x, ids, w, own, 5)
+        assert ((read > 0) & (read <= 1)).all()
         s = x @ w.T
         for q in range(20):
             want = sorted((-s[i, q], ids[i]) for i in range(n) if ids[i] != own[q])[:5]
             assert [(-a, b) for a, b in zip(score[at == q], got[at == q], strict=True)] == want
 
 
+def test_top_k_stops_reading():
+    """Vectors whose best stand out: most queries stop before the end of the lists."""
+    from vicinity.llm.topk import block_top_k
+
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(size=(2000, 2)) ** 5 * 50).astype(np.int64)
+    w = rng.integers(1, 100, (30, 2))
+    at, got, score, read = block_top_k(x, np.arange(2000), w, np.full(30, -1), 5)
+    for q in range(30):
+        s = x @ w[q]
+        assert got[at == q].tolist() == np.lexsort((np.arange(2000), -s))[:5].tolist()
+    assert (read < 1).mean() > 0.8
+
+
 def test_packing(spark, folder, texts):
     from itertools import combinations
 

@@ -145,12 +145,16 @@ def live_groups(rows: DataFrame, name: str) -> DataFrame:
     ``twice``, with ``some`` (the key has several c) and, of the rows of the same (a, c): ``twice``, ``low`` and ``high`` (doc_id, pos).
 
     Keys are aggregated before the shuffle and joined back to their rows, and adaptive execution splits the rows of a hot key.
+    What it returns reads a table of the live rows: :func:`discard` it once it has been read.
     """
     here = F.struct("doc_id", "pos")
     key = rows.groupBy("a").agg(F.count("*").alias("n"), ((F.min("c") != F.max("c")) | F.max("multi")).alias("some"), F.max("twice").alias("any")).where("n > 1 OR some OR any")
     live = materialize(rows.drop("multi").join(key.select("a", "some"), "a"), name)
+    release(rows.sparkSession)
     whole = live.groupBy("a", "c").agg(F.max("twice").alias("twice"), F.min(here).alias("low"), F.max(here).alias("high"))
-    return live.drop("twice").join(whole, ["a", "c"])
+    out = live.drop("twice").join(whole, ["a", "c"])
+    out._vicinity_path = live._vicinity_path
+    return out
 
 
 def place() -> Column:

@@ -174,22 +174,26 @@ def _level(text: DataFrame, candidates: DataFrame, window: int, name: str) -> Da
     )
     here, key = F.struct("doc_id", "pos"), F.struct("a", "c")  # both hashes tell windows apart here
     open_rows = rows.where("flag = 0").select(key.alias("a"), F.lit(0).alias("c"), "multi", "twice", "doc_id", "pos")
-    met = live_groups(open_rows, f"{name}-live")
-    met = met.where((F.col("low") != F.col("high")) | F.col("twice")).select("doc_id", "pos", (here == F.col("low")).alias("first"), F.lit(True).alias("repeated"))
-    return materialize(met.unionByName(rows.where("flag = 1").select("doc_id", "pos", F.lit(False).alias("first"), F.lit(True).alias("repeated"))), name)
+    live = live_groups(open_rows, f"{name}-live")
+    met = live.where((F.col("low") != F.col("high")) | F.col("twice")).select("doc_id", "pos", (here == F.col("low")).alias("first"), F.lit(True).alias("repeated"))
+    out = materialize(met.unionByName(rows.where("flag = 1").select("doc_id", "pos", F.lit(False).alias("first"), F.lit(True).alias("repeated"))), name)
+    for x in (rows, live):
+        discard(x)
+    release(text.sparkSession)
+    return out
 
 
 def repeated_windows(text: DataFrame, window: int) -> DataFrame:
     """(doc_id, pos, m): ranges of window starts whose windows occurred earlier. ``text`` is bucketed by doc_id."""
     rows = materialize(text.where("doc_id IS NOT NULL").select("doc_id", "text", place()).mapInArrow(lambda b: _chunks(b, window), _MARKS), "chunks")
-    met = live_groups(rows.where("flag = 0").drop("flag"), "live-chunks")
-    marks = met.select("doc_id", "pos", "m", F.when(F.struct("doc_id", "pos") != F.col("low"), 1).when(F.col("some"), 2).alias("kind")).where("kind IS NOT NULL")
+    live = live_groups(rows.where("flag = 0").drop("flag"), "live-chunks")
+    marks = live.select("doc_id", "pos", "m", F.when(F.struct("doc_id", "pos") != F.col("low"), 1).when(F.col("some"), 2).alias("kind")).where("kind IS NOT NULL")
     # what a block has settled by itself goes past the shuffle
     marks = materialize(marks.unionByName(rows.where("flag > 0").select("doc_id", "pos", "m", F.col("flag").alias("kind"))), "chunk-marks")
-    discard(rows)
+    for x in (rows, live):
+        discard(x)
     release(text.sparkSession)
     full = _level(text, marks.where("kind = 2"), window, "window-marks")
-    release(text.sparkSession)
     return marks.where("kind = 1").select("doc_id", "pos", "m").unionByName(
         full.where("NOT first").select("doc_id", "pos", F.lit(1).alias("m"))
     )

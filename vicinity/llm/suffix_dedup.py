@@ -133,12 +133,14 @@ def _judge(rows: DataFrame, name: str) -> DataFrame:
     the one witness of rows that are repeated whole while others have the same key."""
     rows = materialize(rows, f"{name}-rows")
     what = ("doc_id", "pos", "m", "anc")
-    met = live_groups(rows.where("flag = 0").drop("flag"), f"{name}-live").select(
+    live = live_groups(rows.where("flag = 0").drop("flag"), f"{name}-live")
+    met = live.select(
         *what, (F.col("twice") | (F.col("low") != F.col("high"))).alias("repeated"), (F.col("some") & (F.col("low") == F.struct("doc_id", "pos"))).alias("next")
     )
     # what a block has settled by itself goes past the shuffle
     out = materialize(met.unionByName(rows.where("flag > 0").select(*what, (F.col("flag") == 1).alias("repeated"), (F.col("flag") == 2).alias("next"))).where("repeated OR next"), name)
-    discard(rows)
+    for x in (rows, live):
+        discard(x)
     return out
 
 
@@ -161,6 +163,33 @@ def repeated_strings(text: DataFrame, length: int, gram: int = 64, steps: tuple[
     return out
 
 
+def prefix_free_figures(docs: DataFrame, gram: int = 16, modulus: int = 64) -> DataFrame:
+    """(corpus_bytes, phrases, distinct, dictionary_bytes) of a prefix-free parse with triggers where a rolling hash is 0
+    modulo ``modulus``: what suffix arrays of dictionary and parse would have to hold. Not used by the removal."""
+    import pyarrow as pa
+
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator) -> Iterator:
+        roll = Roller(0)
+        for b in batches:
+            for _, _, buf, off in text_blocks(b.column(0), BLOCK):
+                if not len(buf):
+                    continue
+                p = roll.prefix(roll.table[buf])
+                at = np.arange(max(0, len(buf) - gram + 1))
+                hit = np.flatnonzero(roll.of(p, at, at + gram) % np.uint64(modulus) == 0)
+                doc = np.searchsorted(off, hit, "right") - 1
+                hit = hit[hit + gram <= off[doc + 1]]
+                start = np.union1d(hit, off[:-1][np.diff(off) > 0])
+                last = np.searchsorted(off, start, "right")  # of each phrase's document, the end
+                end = np.minimum(np.append(start[1:], len(buf)) + gram, off[last])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(roll.of(p, start, end))), pa.array((end - start).astype(np.int64)), pa.array(np.minimum(np.append(start[1:], len(buf)), off[last]) - start)], ["h", "size", "step"])
+
+    phrases = docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, size long, step long").groupBy("h").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.sum("step").alias("step"))
+    return phrases.agg(F.sum("step").alias("corpus_bytes"), F.sum("n").alias("phrases"), F.count("*").alias("distinct"), F.sum("size").alias("dictionary_bytes"))
+
+
 def _remove(batches: Iterator, length: int) -> Iterator:
     import pyarrow as pa
 
