@@ -362,13 +362,13 @@ def test_an_append_that_is_repeated_changes_nothing(spark, tmp_path):
     index.close()
 
 
-@pytest.mark.parametrize("name", ["op1_topk", "op3_substring_dedup", "op5_exact_dedup", "op8_simhash", "op10_suffix_dedup"])
+@pytest.mark.parametrize("name", ["op1_topk", "op2_url_filter", "op3_substring_dedup", "op5_exact_dedup", "op8_simhash", "op9_packing", "op10_suffix_dedup", "pipeline"])
 def test_queries_leave_their_result_alone(spark, folder, name):
     from vicinity.llm import common
 
-    since = common.scratch_mark()
+    since, tables = common.scratch_mark(), spark.sql("SHOW TABLES").count()
     queries.QUERIES[name](spark, folder).collect()
-    assert len(common._made) == since + 1 and spark.sql("SHOW TABLES").count() == 0
+    assert len(common._made) == since + 1 and spark.sql("SHOW TABLES").count() == tables
 
 
 def test_top_k_blocks():
@@ -420,6 +420,13 @@ def test_packing(spark, folder, texts):
     assert total == Counter({d: len(WORD.findall(t or "")) for d, t in enumerate(texts)}) + Counter() or all(
         total[d] == len(WORD.findall(t or "")) for d, t in enumerate(texts)
     )
+    whole = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):  # pieces follow one another without a gap
+        assert r["start"] == whole.get(r["doc_id"], 0) and r["length"] <= 100
+        whole[r["doc_id"]] = r["start"] + r["length"]
+    assert len({(r["batch_id"], r["slot"]) for r in rows}) == len(rows)
+    again = pack(spark.read.parquet(f"{folder}/documents.parquet").repartition(7, "text"), max_length=100, buckets=4, budget=300)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
     for batch, n in Counter(r["batch_id"] for r in rows).items():
         padded = {r["padded"] for r in rows if r["batch_id"] == batch}
         assert len(padded) == 1 and (n * max(padded) <= 300 or n == 1)
@@ -469,6 +476,88 @@ def test_language_sample_is_bounded(spark):
         fit(docs, languages=4)
 
 
+def plain_features(text):
+    """Word and trigram buckets of a text, one by one."""
+    from vicinity.llm.common import Roller
+    from vicinity.llm.quality import BITS, REPEAT
+
+    raw, roll, words = (text or "").encode(), Roller(0), []
+    last = None
+    for w in raw.split():
+        b = np.frombuffer(w, np.uint8)
+        words.append(REPEAT if w == last else int(roll.of(roll.prefix(roll.table[b]), np.array([0]), np.array([len(b)]))[0]) >> (64 - BITS))
+        last = w
+    sign, grams, mask = [32 if c in b" \t\n\x0b\x0c\r" else c for c in raw], [], 2**32 - 1
+    for a, b, c in zip(sign, sign[1:], sign[2:], strict=False):
+        h = (a * 0x9E3779B1 & mask) ^ (b * 0x85EBCA6B & mask) ^ (c * 0xC2B2AE35 & mask)
+        grams.append(((h ^ h >> 15) * 0x2C1B3C6D & mask) >> (32 - BITS))
+    return words, grams
+
+
+def test_quality_scores_and_training_against_plain_loops(texts):
+    import pyarrow as pa
+
+    from vicinity.llm.quality import BITS, PRIOR, QualityModel, train
+
+    rng = np.random.default_rng(3)
+    some = [t for t in texts if len(t or "") < 2000]
+    model = QualityModel(rng.normal(size=1 << BITS).astype(np.float32), rng.normal(size=1 << BITS).astype(np.float32), 0.3)
+    got = model.scores(pa.array(some, pa.string()))
+    for t, z in zip(some, got, strict=True):
+        words, grams = plain_features(t)
+        total = (sum(float(model.words[w]) for w in words) + sum(float(model.grams[g]) for g in grams)) / (len(words) + len(grams) + PRIOR) if words else 0.0
+        assert z == pytest.approx(1 / (1 + np.exp(-total - 0.3)), abs=1e-6)
+
+    some, labels, dim, size, rate, epochs = [t for t in some if (t or "").split()][:5], [1, 0, 1, 0, 0], 4, 1 << BITS, 0.5, 2
+    model, rng = train(some, labels, dim=dim, epochs=epochs, rate=rate, seed=7), np.random.default_rng(7)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (2 * size, dim)).astype(np.float32).astype(float)
+    out, bias, step = np.zeros((dim, 2)), np.zeros(2), 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(some)):
+            words, grams = plain_features(some[i])
+            bag = Counter([*words, *(g + size for g in grams)])
+            weight = {k: n / (len(words) + len(grams) + PRIOR) for k, n in bag.items()}
+            lr = rate * (1 - step / (epochs * len(some)))
+            step += 1
+            mean = sum(w * vectors[k] for k, w in weight.items())
+            p = np.exp(mean @ out + bias)
+            g = p / p.sum() - np.eye(2)[labels[i]]
+            back = out @ g
+            for a in range(dim):
+                for c in range(2):
+                    out[a, c] -= lr * mean[a] * g[c]
+            bias -= lr * g
+            for k, w in weight.items():
+                vectors[k] -= lr * min(1.0, 20 * w) * back
+    fold = vectors @ (out[:, 1] - out[:, 0])
+    assert np.allclose(model.words, fold[:size], atol=1e-4) and np.allclose(model.grams, fold[size:], atol=1e-4) and model.bias == pytest.approx(bias[1] - bias[0], abs=1e-4)
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Every operator takes null doc_ids and repeated rows, and returns a row for each."""
+    p = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, p, "en"), (1, p, "en"), (None, p, "en"), (None, p, "fr"), (2, "", "fr"), (2, p + " x", "fr"), (None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op3_substring_dedup", "op4_sentencepiece", "op5_exact_dedup", "op6_quality", "op7_language_id", "op8_simhash", "op9_packing", "op10_suffix_dedup"):
+        got = Counter(r["doc_id"] for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == Counter([1, 1, None, None, 2, 2, None]), name
+    kept = {(r["doc_id"], r["n_removed"]) for r in queries.QUERIES["op3_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert kept == {(1, 0), (None, 0), (2, 0), (2, 120)}
+
+
+def test_words_longer_than_blocks(spark, tmp_path):
+    """Texts beyond a block of one or two megabytes, one of them a single word; a passage that crosses a block's end."""
+    p = " ".join(f"w{i}" for i in range(200))
+    long_text = " ".join(f"v{i}" for i in range(400_000)) + " " + p
+    spark.createDataFrame([(1, p), (2, long_text), (3, "ab" * 1_300_000), (4, "c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = {x["doc_id"]: x for x in queries.QUERIES["op3_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert [(r[d]["n_words"], r[d]["n_removed"]) for d in (1, 2, 3, 4)] == [(200, 0), (400_200, 200), (1, 0), (1, 0)]
+    r = {x["doc_id"]: x for x in queries.QUERIES["op10_suffix_dedup"](spark, str(tmp_path)).collect()}
+    size = len(p)
+    assert [r[d]["n_removed"] for d in (1, 2, 3, 4)] == [size, size, 2_600_000, 0]
+
+
 def test_viterbi_against_all_paths():
     from itertools import product
 

@@ -1,39 +1,22 @@
-"""Shared helpers: shared scratch tables, code shipping, and block-wise views of Arrow text."""
+"""Shared helpers: scratch tables that are deleted again, row keys, and block-wise views of Arrow text."""
 
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
+from ..runtime import scratch_root, ship  # noqa: F401  (used by the operators)
+
 #: Bytes of text that one vectorised step looks at; bounds a Python worker's memory.
 BLOCK_BYTES = 2_000_000
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` wherever it is set.
-
-    Only a plain local session may fall back to a temporary folder; on a cluster such a folder
-    would not be shared, so an unset directory is an error there.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="vicinity-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 #: Scratch folders made by this process and not deleted yet.
 _made: list[str] = []
 
@@ -88,9 +71,7 @@ def discard(df: DataFrame) -> None:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    runtime.delete_path(spark, path)
     if path in _made:
         _made.remove(path)
 
@@ -99,20 +80,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_vicinity_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="vicinity-code-"), "vicinity_package.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, f"{package.name}/{p.relative_to(package)}")
-    sc.addPyFile(target)
-    sc._vicinity_shipped = True
-
-
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """Write ``df`` bucketed by ``key``, so that later joins on it move only the other side."""
     spark = df.sparkSession

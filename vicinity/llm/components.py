@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, node_type: str = "long") -> DataFrame
     Each round points every node at its least neighbour, follows the pointers once more, and
     replaces the ends of all edges; edges inside one node go. Each node that isn't the least of its
     neighbourhood disappears, so the rounds are logarithmic in practice. Rounds write tables in the
-    shared folder; nothing is collected. Joins are between written tables on both sides, so
+    shared folder; nothing is collected. Edges with a null end are left out, and so are nodes whose only edge is a loop. Joins are between written tables on both sides, so
     adaptive execution can split a hub.
     """
     edges = materialize(

@@ -9,8 +9,9 @@ Texts of more than ``max_length`` words become several sequences; no word is los
 into shards of about sixteen batches (by the known counts), so that no task numbers a whole bucket; each
 shard has one unfilled batch at most.
 
-Defined results: a null or empty text is one sequence of length 0; repeated rows are sequences each;
-equal lengths share a bucket; an empty table gives no rows. Extra columns are ignored.
+Defined results: a null or empty text is one sequence of length 0; repeated rows are sequences each, which may
+change places; a null doc_id is kept as it is; equal lengths share a bucket; an empty table gives no rows. Extra columns
+are ignored. Batches depend on the rows alone (shards by a hash of doc_id, text and piece), not on their partitions.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_key
 
 BATCHES_PER_SHARD = 16
 
@@ -61,7 +62,7 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
 def pack(docs: DataFrame, max_length: int = 4096, buckets: int = 16, budget: int = 65536) -> DataFrame:
     """doc_id, piece, start, length (words), bucket, padded (bucket's length), batch_id, slot."""
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n"), F.monotonically_increasing_id().alias("row")
+        F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n"), row_key()[0].alias("row")
     )
     pieces = materialize(
         rows.select(

@@ -2,13 +2,15 @@
 
 Words and character trigrams (UTF-8 bytes, white space as one sign) are hashed to learned vectors, a
 document is the average of the vectors of all that occur in it, and a softmax layer on top gives the
-class. Training is stochastic gradient descent in numpy over a sample of labelled documents of at most
-``SAMPLE`` rows, chosen by a hash of the doc_id; scoring covers whole texts of all documents.
+class. Training is stochastic gradient descent in numpy over a sample of labelled documents, bounded in rows and
+bytes and chosen by a hash of the doc_id; scoring covers whole texts of all documents. A word that repeats the one before
+it falls into a bucket of its own: junk says words twice, whatever words it is made of, and a hashed word alone can't tell.
 The output layer is linear, so for scoring each hashed vector is folded into one number beforehand.
 
 Defined results: null, empty and blank texts score by the bias alone; labels that are null or not 0 or 1
 are ignored; of repeated labels the greatest counts; with no label of one class to learn from, every
-document scores as the other class (0.5 if there are no labels). Only the text is ever scored.
+document scores as the other class (0.5 if there are no labels). Only the text is ever scored. Rows repeat as given; a
+null doc_id is returned with a score, is not held out and teaches nothing; columns of any other name don't matter.
 """
 
 from __future__ import annotations
@@ -122,18 +124,20 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """Learn ``quality`` from at most ``sample`` (in expectation) labelled documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = 64_000_000) -> QualityModel:
+    """Learn ``quality`` from labelled documents that are not held out: at most ``sample`` and ``sample_bytes`` of text (in expectation)."""
     known = (
         labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out())
         .groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     )
-    share = int(1_000_000 * min(1.0, sample / max(1, known.count())))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < share)
+    share = min(1.0, sample / max(1, known.count()))
+    below = lambda x: F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < int(1_000_000 * x)
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality").toArrow()
+        .join(F.broadcast(known.where(below(share))), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
     )
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.where(below(share * min(1.0, sample_bytes / max(1, size)))).toArrow()
     rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "text")])
     return train(rows["text"], rows["quality"].to_pylist())
 

@@ -22,7 +22,8 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import url_verdicts
 
-    return url_verdicts(_table(spark, sf_dir, "pages"))
+    since = scratch_mark()
+    return finished(url_verdicts(_table(spark, sf_dir, "pages")), since, "op2")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"))
+    since = scratch_mark()
+    return finished(pack(_table(spark, sf_dir, "documents")), since, "op9")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,23 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-A model file is compiled into three transducers: the normaliser (space to the mark U+2581, a mark in
-front), the pieces (character string to piece), and byte fallback (a character that no piece has to its
-bytes). Composed with an input they give a lattice of pieces over positions; the tropical-semiring
-shortest path (least sum of arc weights) through it is the encoding.
+A model file is compiled into three transducers of explicit states and arcs (:class:`Machine`):
+
+normaliser   characters to characters; spaces and marks become marks (written as spaces inside), lone surrogates U+FFFD,
+             and the start state puts a mark in front of the text
+pieces       a trie over characters; an arc without input leaves the state at the end of a piece, puts the piece out, and
+             leads to the state that remembers it
+byte fallback  a character that no piece has to its bytes
+
+They are composed with each input as it is read: a state of the composition is (position in the input, trie state) within a
+piece, and (position, last piece) between pieces. The tropical-semiring shortest path (least sum of arc weights) through
+it is the encoding.
 
 The model's pieces come from merges, whose result is not the path of least summed score. It is the path
 on which each two neighbouring pieces are what merging their joined text gives again: if no merge
-crosses any one border, none crosses all. So the states of the lattice are (position, last piece), an arc
-to a piece that does not go with the last one has infinite weight, and the others weigh nothing. Verdicts
-on pairs are computed once and kept, as are the encodings of segments. Segments end where no piece
-crosses: before a mark (a run of marks is merged by itself, but for the last, if the word takes it) and
-around line feeds.
+crosses any one border, none crosses all. So the constraint is in the states: the arc that leaves the state of the last piece
+for another piece weighs nothing if the two go together, and infinity if not. These weights come from merging the two
+pieces' characters when an arc is first met, and are kept, as are the encodings of segments. Segments are stretches that no
+piece crosses the ends of: a word with the marks before it, and line feeds.
 
 Defined results: a null or empty text has no ids and decodes to an empty one; marks in a text are taken
 for spaces; lone surrogates become U+FFFD. Decoding undoes encoding for every text without marks. Models
@@ -36,8 +42,8 @@ from .substring_dedup import expand
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SEGMENTS, PAIRS = 700_000, 400_000  # cache entries in a worker
-#: Inside, the mark is written as a space.
-_SEGMENT = re.compile(" *[^ \n]+| +|\n")
+INFINITE = float("inf")
+_SEGMENT = re.compile(f"[ {MARK}]*[^ {MARK}\n]+|[ {MARK}]+|\n")
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -66,8 +72,59 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
         i += n
 
 
+class Machine:
+    """A finite-state transducer: ``arcs[state]`` gives for an input symbol the next state and the output, ``other[state]`` the
+    next state for any other symbol, which is copied, and ``silent[state]`` the next state and output without input."""
+
+    def __init__(self):
+        self.arcs: list[dict[str, tuple[int, str]]] = []
+        self.other: list[int | None] = []
+        self.silent: list[tuple[int, object] | None] = []
+
+    def state(self, other: int | None = None, silent: tuple[int, object] | None = None) -> int:
+        self.arcs.append({})
+        self.other.append(other)
+        self.silent.append(silent)
+        return len(self.arcs) - 1
+
+    def run(self, text: str, state: int) -> str:
+        """The output of a machine with one path for each input."""
+        out = []
+        if self.silent[state]:
+            state, symbol = self.silent[state]
+            out.append(symbol)
+        for c in text:
+            arc = self.arcs[state].get(c)
+            state, symbol = arc if arc else (self.other[state], c)
+            out.append(symbol)
+        return "".join(out)
+
+
+def normaliser(prefix: bool) -> Machine:
+    """State 0 is before the text, state 1 within it."""
+    m = Machine()
+    m.state(silent=(1, " ") if prefix else (1, ""))
+    m.state(other=1)
+    m.arcs[1] = {" ": (1, " "), MARK: (1, " ")}
+    return m
+
+
+def trie(pieces: dict[str, int]) -> Machine:
+    """State 0 is between pieces; the silent arc of a piece's last state puts it out. Inputs have no output."""
+    m = Machine()
+    m.state()
+    for text, piece in pieces.items():
+        at = 0
+        for c in text:
+            if c not in m.arcs[at]:
+                m.arcs[at][c] = m.state(), ""
+            at = m.arcs[at][c][0]
+        m.silent[at] = 0, piece
+    return m
+
+
 class Transducer:
-    """The compiled model; ``encode`` and ``decode`` work on one text, the ``_many`` forms on batches."""
+    """The compiled model; ``encode`` and ``decode`` work on one text."""
 
     def __init__(self, model: bytes):
         self.rank: dict[str, float] = {}
@@ -100,12 +157,14 @@ class Transducer:
             raise ValueError("only merge models are supported")
         if any(" " in p.lstrip(" ") or (p.startswith("  ") and p.strip(" ")) for p in self.id):
             raise ValueError("pieces with inner marks are not supported")
-        self.more = {p[:n] for p in self.id for n in range(1, len(p))}  # inner states of the pieces' trie
+        self.normaliser, self.pieces = normaliser(self.prefix), trie(self.id)
+        self.step = [{c: n for c, (n, _) in arcs.items()} for arcs in self.pieces.arcs]  # the trie's arcs, which have no output
+        self.ends = [arc[1] if arc else -1 for arc in self.pieces.silent]
         self.text = {i: p for p, i in self.id.items()}
         size = np.array([len(p) for p in pieces])
         self.size, self.start, self.bytes = size, np.cumsum(size) - size, np.frombuffer(b"".join(pieces), np.uint8)
         self.segments: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
+        self.weights: dict[int, float] = {}
         self.bytes_from, self.bytes_to = min(self.byte), max(self.byte)
 
     def merge(self, symbols: list[str], border: int = -1) -> list[str] | None:
@@ -138,52 +197,54 @@ class Transducer:
             offer(i)
         return [s for s in symbols if s]
 
-    def goes(self, a: int, b: int) -> bool:
-        """No merge crosses the border between pieces ``a`` and ``b``."""
-        key = a << 32 | b
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            x, y = self.text[a], self.text[b]
-            ok = self.pairs[key] = self.merge([*x, *y], len(x)) == [x, y]
-        return ok
+    def weight(self, last: int, piece: int) -> float:
+        """Of the arc from the state after ``last`` (-1: none, or bytes) to ``piece``: 0 if no merge crosses their border, else infinite."""
+        key = last << 32 | piece if last >= 0 else -1 - piece
+        w = self.weights.get(key)
+        if w is None:
+            if len(self.weights) >= PAIRS:
+                self.weights.clear()
+            x, y = self.text[last] if last >= 0 else "", self.text[piece]
+            w = self.weights[key] = 0.0 if self.merge([*x, *y], len(x) or -1) == ([x, y] if x else [y]) else INFINITE
+        return w
+
+    def arcs_from(self, segment: str, p: int) -> list[tuple[int, int]]:
+        """Composition of the segment with pieces and byte fallback from position ``p`` to the next state between pieces: (end, piece or -1)."""
+        found, state, step, ends = [], 0, self.step, self.ends
+        for q in range(p, len(segment)):
+            state = step[state].get(segment[q])
+            if state is None:
+                break
+            if ends[state] >= 0:
+                found.append((q + 1, ends[state]))
+        if segment[p] not in self.id:  # byte fallback: nothing merges over it
+            found.append((p + 1, -1))
+        return found
 
     def shortest_path(self, segment: str) -> list[int]:
-        """Least-weight path through the lattice of ``segment``; a state is a position and the last piece (-1: none, or bytes).
+        """Ids of the least-weight path through the composition of the machines with ``segment``.
 
-        Arcs weigh nothing or infinity, and merging has one result, so one path has a finite weight. It is looked
-        for depth first, the longest piece first; states without a way on are not entered twice.
+        Weights are 0 or infinite, so every path of finite weight is a least one (and as merging has one result, there is one).
+        States are expanded depth first, the longest piece first; one without a way on is not entered twice.
         """
-        n, ids, more, pairs = len(segment), self.id, self.more, self.pairs
-        arcs: dict[int, list[tuple[int, int]]] = {}  # from a position: (end, piece), the longest last
+        n, weights = len(segment), self.weights
+        arcs: dict[int, list[tuple[int, int]]] = {}
         dead: set[tuple[int, int]] = set()
         path: list[tuple[int, int, list[tuple[int, int]]]] = []
-        p, last = 0, -1
         out: list[int] = []
+        p, last = 0, -1
         while p < n:
             here = arcs.get(p)
             if here is None:
-                here = arcs[p] = []
-                for q in range(p + 1, n + 1):
-                    text = segment[p:q]
-                    if text in ids:
-                        here.append((q, ids[text]))
-                    if text not in more:
-                        break
-                if segment[p] not in ids:  # byte fallback: nothing merges over it
-                    here.append((p + 1, -1))
+                here = arcs[p] = self.arcs_from(segment, p)
             left = here.copy()
             path.append((p, last, left))
             while True:
                 while left:
                     q, piece = left.pop()
                     if piece >= 0:
-                        key = last << 32 | piece if last >= 0 else -1 - piece
-                        ok = pairs.get(key)
-                        if ok is None:
-                            ok = self.goes(last, piece) if last >= 0 else self.goes_alone(piece)
-                        if not ok or (q, piece) in dead:
+                        w = weights.get(last << 32 | piece if last >= 0 else -1 - piece)
+                        if (self.weight(last, piece) if w is None else w) == INFINITE or (q, piece) in dead:
                             continue
                     break
                 else:
@@ -203,28 +264,9 @@ class Transducer:
                 result.extend(self.byte[c] for c in segment[at].encode("utf-8", "replace"))
         return result
 
-    def goes_alone(self, piece: int) -> bool:
-        """Merging a piece's characters gives the piece."""
-        key = -1 - piece
-        ok = self.pairs.get(key)
-        if ok is None:
-            ok = self.pairs[key] = self.merge([*self.text[piece]]) == [self.text[piece]]
-        return ok
-
-    def _segment(self, segment: str) -> bytes:
-        word = segment.lstrip(" ")
-        run = len(segment) - len(word)
-        if run > 1:
-            path = self.shortest_path(" " + word) if word else [self.id[" "]]
-            if path[0] == self.id[" "]:
-                path = path[1:]
-            else:
-                run -= 1
-            path = [self.id[s] for s in self.merge([" "] * run)] + path
-        else:
-            path = self.shortest_path(segment)
-        out = np.array(path, np.int32).tobytes()
-        if len(segment) <= 64:
+    def _segment(self, segment: str, state: int) -> bytes:
+        out = np.array(self.shortest_path(self.normaliser.run(segment, state)), np.int32).tobytes()
+        if len(segment) <= 64 and state:
             if len(self.segments) >= SEGMENTS:
                 self.segments.clear()
             self.segments[segment] = out
@@ -233,9 +275,9 @@ class Transducer:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        marked = (" " if self.prefix else "") + text.replace(MARK, " ")
         known, make = self.segments.get, self._segment
-        return np.frombuffer(b"".join([known(s) or make(s) for s in _SEGMENT.findall(marked)]), np.int32)
+        first, *rest = _SEGMENT.findall(text)
+        return np.frombuffer(b"".join([make(first, 0), *[known(s) or make(s, 1) for s in rest]]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD."""

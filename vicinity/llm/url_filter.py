@@ -7,7 +7,10 @@ among those that a rule judges, are allowed or blocked.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is
 allowed; hosts that no seed reaches are allowed; pages that share a url get the same verdict; a null
-html has no links; links of a host to itself carry nothing. Extra columns are ignored.
+html has no links; links of a host to itself carry nothing; a null page_id is returned as it is and rows that repeat are
+each judged and each count. Extra columns are ignored. In the graph a host has neither user nor port. What a host
+without links receives goes no further, and after ``rounds`` rounds at most damping ^ rounds of a seed's mass (4 %) is still
+on its way.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-_LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+_LINK = r"""(?i)(?:^|[\s"'/])href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
 def _lower(c: Column) -> Column:
@@ -46,6 +49,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def node_of(host: Column) -> Column:
+    """The host of the link graph: without user and port."""
+    return F.regexp_replace(host, r"^[^@]*@|:[0-9]*$", "")
+
+
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, action) of the longest rule that fits; nulls if none does."""
     if len(rules) > MAX_RULES:
@@ -80,21 +88,21 @@ def url_verdicts(
 ) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages`` (page_id, url, html)."""
     host, path = host_and_path(F.col("url"))
-    judged = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
+    judged = pages.select("page_id", "html", host.alias("host"), path.alias("path")).withColumn("node", node_of(F.col("host")))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": rule, "action": action})
 
     hosts = materialize(
-        judged.where("host <> ''").groupBy("host").agg(
+        judged.where("node <> ''").groupBy(F.col("node").alias("host")).agg(
             F.count_if(F.col("action") == "allow").alias("allowed"), F.count_if(F.col("action") == "block").alias("blocked")
         ),
         "hosts",
     )
     links = (
-        judged.where("host <> ''")
-        .select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("dst"))
-        .withColumn("dst", _lower(F.regexp_replace("dst", r"^[^@]*@", "")))
-        .where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+        judged.where("node <> ''")
+        .select(F.col("node").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("dst"))
+        .withColumn("dst", node_of(_lower(F.col("dst"))))
+        .where("src <> dst AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
     )
     links = materialize(links, "links")
     trusted = hosts.where("allowed > blocked").select("host", F.lit(1.0).alias("seed"))
@@ -115,7 +123,7 @@ def url_verdicts(
         .select("host", F.lit("block").alias("by_graph")),
         "host-verdicts",
     )
-    return judged.select("page_id", "host", "path", "rule", "action").join(distrusted, "host", "left").select(
+    return judged.select("page_id", "host", "path", "rule", "action", "node").join(distrusted.withColumnRenamed("host", "node"), "node", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("action", "by_graph", F.lit("allow")).alias("verdict")
     )
 
@@ -127,6 +135,7 @@ def sql(rules: Sequence[tuple[str, str, str]] = RULES, rounds: int = 20, damping
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, act)[i]}'" for act, h, p in ordered
     ) + " END"
     low = lambda x: f"translate({x}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    node = lambda x: f"regexp_replace({x}, '^[^@]*@|:[0-9]*$', '', 'g')"
     steps = []
     for name, edges, seeds in (("t", "forward", "trusted"), ("d", "backward", "distrusted")):
         steps.append(f"{name}0 AS (SELECT host, {1 - damping!r}::DOUBLE AS score FROM {seeds})")
@@ -137,17 +146,18 @@ def sql(rules: Sequence[tuple[str, str, str]] = RULES, rounds: int = 20, damping
             )
     return rf"""
 WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
-h AS (SELECT page_id, html, coalesce({low("regexp_extract(rest, '^([^/?#]*)', 1)")}, '') AS host,
+h0 AS (SELECT page_id, html, coalesce({low("regexp_extract(rest, '^([^/?#]*)', 1)")}, '') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+h AS (SELECT *, {node('host')} AS node FROM h0),
 j AS (SELECT *, {case(0)} AS rule, {case(1)} AS act FROM h),
-hosts AS (SELECT host, count(*) FILTER (act = 'allow') AS a, count(*) FILTER (act = 'block') AS b FROM j WHERE host <> '' GROUP BY host),
-raw AS (SELECT host AS src, {low("regexp_replace(x, '^[^@]*@', '')")} AS dst
-        FROM (SELECT host, unnest(regexp_extract_all(html, '\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1, 'i')) AS x FROM j WHERE host <> '')),
-links AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM raw WHERE src <> dst GROUP BY ALL),
+hosts AS (SELECT node AS host, count(*) FILTER (act = 'allow') AS a, count(*) FILTER (act = 'block') AS b FROM j WHERE node <> '' GROUP BY node),
+raw AS (SELECT node AS src, {node(low("x"))} AS dst
+        FROM (SELECT node, unnest(regexp_extract_all(html, '(?:^|[\s"''/])href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1, 'i')) AS x FROM j WHERE node <> '')),
+links AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM raw WHERE src <> dst AND dst <> '' GROUP BY ALL),
 forward AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM links),
 backward AS MATERIALIZED (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS share FROM links),
 trusted AS (SELECT host FROM hosts WHERE a > b), distrusted AS (SELECT host FROM hosts WHERE b > a),
 {", ".join(steps)},
 bad AS (SELECT d.host FROM d{rounds} d LEFT JOIN t{rounds} t USING (host) WHERE d.score > coalesce(t.score, 0) * {ratio!r}::DOUBLE)
-SELECT page_id, host, path, rule, coalesce(act, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' END, 'allow') AS verdict FROM j
+SELECT page_id, host, path, rule, coalesce(act, CASE WHEN node IN (SELECT host FROM bad) THEN 'block' END, 'allow') AS verdict FROM j
 """
