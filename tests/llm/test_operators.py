@@ -100,7 +100,17 @@ def test_empty_tables(spark, folder, name):
     assert queries.QUERIES[name](spark, f"{folder}/empty").count() == 0
 
 
-def test_substring_dedup(spark, folder, texts):
+@pytest.fixture(params=["usual", "hot"])
+def keys(request, monkeypatch):
+    """With all keys that occur twice taken for hot, and without."""
+    if request.param == "hot":
+        from vicinity.llm import common
+
+        monkeypatch.setattr(common, "HOT_SAMPLE", 1)
+        monkeypatch.setattr(common, "HOT_LEAST", 2)
+
+
+def test_substring_dedup(spark, folder, texts, keys):
     got, seen = run(spark, "op3_substring_dedup", folder), set()
     for d, t in enumerate(texts):
         w = WORD.findall(t or "")
@@ -129,7 +139,7 @@ def test_longest_repeats(spark, texts):
         length *= 2
 
 
-def test_suffix_dedup(spark, folder, texts):
+def test_suffix_dedup(spark, folder, texts, keys):
     got, n = run(spark, "op10_suffix_dedup", folder), 400
     raw = [(t or "").encode() for t in texts]
     count = Counter(r[i : i + n] for r in raw for i in range(len(r) - n + 1))

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import runtime
@@ -107,21 +107,37 @@ def carry(docs: DataFrame) -> DataFrame:
     return docs.select(*out, *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
 
 
+#: A key is hot if it has at least HOT_LEAST of the rows in a sample of one in HOT_SAMPLE, and one in HOT_KEYS of the sample.
+HOT_SAMPLE, HOT_LEAST, HOT_KEYS = 64, 16, 20_000
+
+
 def live_groups(rows: DataFrame, name: str) -> DataFrame:
-    """The rows (a, c, multi, twice, doc_id, pos, ...) whose key ``a`` several of them have, or one has with ``multi`` or
-    ``twice``, with ``some`` (the key has several c) and, of the rows of the same (a, c): ``twice``, ``low`` and ``high`` (doc_id, pos).
+    """The rows (a, c, multi, twice, doc_id, pos, ...), which are read several times, with ``some`` (the rows of the same
+    key ``a`` have several c, or one of them has ``multi``) and, of the rows of the same (a, c): ``twice``, ``low`` and ``high``
+    (doc_id, pos). Rows whose key nothing else has may be left out.
 
-    Keys are aggregated before the shuffle and joined back to their rows, and adaptive execution splits the rows of a hot key.
-    What it returns reads a table of the live rows: :func:`discard` it once it has been read.
+    One shuffle by key, but for hot keys, of which there are HOT_KEYS at most: those are aggregated before the shuffle and joined
+    back to their rows, which adaptive execution splits. A sample tells which are hot; results don't depend on it.
     """
     here = F.struct("doc_id", "pos")
-    key = rows.groupBy("a").agg(F.count("*").alias("n"), ((F.min("c") != F.max("c")) | F.max("multi")).alias("some"), F.max("twice").alias("any")).where("n > 1 OR some OR any")
-    live = materialize(rows.drop("multi").join(key.select("a", "some"), "a"), name)
-    release(rows.sparkSession)
-    whole = live.groupBy("a", "c").agg(F.max("twice").alias("twice"), F.min(here).alias("low"), F.max(here).alias("high"))
-    out = live.drop("twice").join(whole, ["a", "c"])
-    out._vicinity_path = live._vicinity_path
-    return out
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "pos"), F.lit(HOT_SAMPLE)) == 0)
+    hot = sample.groupBy("a").count().where(F.col("count") >= max(HOT_LEAST, -(-sample.count() // HOT_KEYS))).select("a")
+    hot = materialize(hot, "hot-keys")
+    key, whole = Window.partitionBy("a"), Window.partitionBy("a", "c")
+    none = hot.isEmpty()
+    cold = rows if none else rows.join(F.broadcast(hot), "a", "left_anti")
+    cold = cold.repartition("a").sortWithinPartitions("a", "c")
+    cold = cold.withColumn("some", (F.min("c").over(key) != F.max("c").over(key)) | F.max("multi").over(key)).drop("multi").withColumns(
+        {"twice": F.max("twice").over(whole), "low": F.min(here).over(whole), "high": F.max(here).over(whole)}
+    )
+    if none:
+        discard(hot)
+        return cold
+    rows = materialize(rows.join(F.broadcast(hot), "a", "left_semi"), name)
+    some = rows.groupBy("a").agg(((F.min("c") != F.max("c")) | F.max("multi")).alias("some"))
+    same = rows.groupBy("a", "c").agg(F.max("twice").alias("twice"), F.min(here).alias("low"), F.max(here).alias("high"))
+    warm = rows.drop("multi", "twice").join(some, "a").join(same, ["a", "c"])
+    return cold.unionByName(warm)
 
 
 def place() -> Column:

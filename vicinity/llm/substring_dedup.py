@@ -16,8 +16,8 @@ length) until no candidates survive; the removal needs no more than the full len
 
 Each map block keeps one row of each half-window (or window) for the shuffle, its first; what else
 the block holds of it is decided in the block and goes past the shuffle. So a passage that a third of all documents
-share sends one row per block, not one per document; those are aggregated before the shuffle, and joined back in
-parts if they are many.
+share sends one row per block, not one per document; if those are many, they are aggregated before the shuffle and
+joined back in parts.
 
 Defined results: a null or empty text has no words and stays empty; documents shorter than the
 window lose nothing; a row with a null doc_id is returned whole and takes no part; rows that share
@@ -177,8 +177,7 @@ def _level(text: DataFrame, candidates: DataFrame, window: int, name: str) -> Da
     live = live_groups(open_rows, f"{name}-live")
     met = live.where((F.col("low") != F.col("high")) | F.col("twice")).select("doc_id", "pos", (here == F.col("low")).alias("first"), F.lit(True).alias("repeated"))
     out = materialize(met.unionByName(rows.where("flag = 1").select("doc_id", "pos", F.lit(False).alias("first"), F.lit(True).alias("repeated"))), name)
-    for x in (rows, live):
-        discard(x)
+    discard(rows)
     release(text.sparkSession)
     return out
 
@@ -190,8 +189,7 @@ def repeated_windows(text: DataFrame, window: int) -> DataFrame:
     marks = live.select("doc_id", "pos", "m", F.when(F.struct("doc_id", "pos") != F.col("low"), 1).when(F.col("some"), 2).alias("kind")).where("kind IS NOT NULL")
     # what a block has settled by itself goes past the shuffle
     marks = materialize(marks.unionByName(rows.where("flag > 0").select("doc_id", "pos", "m", F.col("flag").alias("kind"))), "chunk-marks")
-    for x in (rows, live):
-        discard(x)
+    discard(rows)
     release(text.sparkSession)
     full = _level(text, marks.where("kind = 2"), window, "window-marks")
     return marks.where("kind = 1").select("doc_id", "pos", "m").unionByName(

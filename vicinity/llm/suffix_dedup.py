@@ -18,7 +18,7 @@ and so on to single windows. So only the windows next to both ends of a repeat a
 by one, and few rows are shuffled for each repeat.
 
 Each map block sends one row of each key, its first, and settles the others itself: a passage that a
-third of all documents share sends one row per block; those are aggregated before the shuffle.
+third of all documents share sends one row per block; if those are many, they are aggregated before the shuffle.
 
 Defined results: a null text is empty and loses nothing; texts shorter than ``length`` lose nothing;
 a row with a null doc_id is returned whole and takes no part; rows that share doc_id and text are one
@@ -139,8 +139,7 @@ def _judge(rows: DataFrame, name: str) -> DataFrame:
     )
     # what a block has settled by itself goes past the shuffle
     out = materialize(met.unionByName(rows.where("flag > 0").select(*what, (F.col("flag") == 1).alias("repeated"), (F.col("flag") == 2).alias("next"))).where("repeated OR next"), name)
-    for x in (rows, live):
-        discard(x)
+    discard(rows)
     return out
 
 
