@@ -14,7 +14,7 @@ from .. import runtime
 from ..runtime import scratch_root, ship  # noqa: F401  (used by the operators)
 
 #: Bytes of text that one vectorised step looks at; bounds a Python worker's memory.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 
 #: Scratch folders made by this process and not deleted yet.
