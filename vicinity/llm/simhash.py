@@ -211,6 +211,8 @@ WIDE = 8
 WEAK, FLIPS = 4, 2
 #: The share of pairs just at the similarity threshold that segments are laid out to meet.
 MEET = 0.965
+#: Four shingles and the same with a fifth differ in more bits than larger sets, as four often tie: 6/16 of bits, half of them then.
+TINY, TINY_SHARE = 5, 0.1875
 #: Size of the bitmap of refs whose sets are asked for.
 SIEVE_BITS = 1 << 26
 _LOWER_BYTES = np.frombuffer(_LOWER, np.uint8)
@@ -367,17 +369,19 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
         side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("fp").alias(f"{c}_fp"))
         apart = F.aggregate(F.zip_with("src_fp", "dst_fp", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
         close = pairs.join(side("src"), "src").join(side("dst"), "dst")
-        close = close.where((F.least("src_n", "dst_n") * q >= F.greatest("src_n", "dst_n") * p) & (apart <= F.size("src_fp") * 64 * share + 3 * F.sqrt(F.size("src_fp") * 64 * share * (1 - share))))
+        tiny = F.least("src_n", "dst_n") <= TINY
+        part, bits = F.when(tiny, max(share, TINY_SHARE)).otherwise(share), F.size("src_fp") * 64
+        close = close.where((F.least("src_n", "dst_n") * q >= F.greatest("src_n", "dst_n") * p) & (apart <= bits * part + 3 * F.sqrt(bits * part * (1 - part))))
         close = materialize(close.select("src", "dst"), "close-pairs")
         ends = close.select(F.col("src").alias("id")).unionByName(close.select(F.col("dst").alias("id"))).distinct()
         sets = materialize(shingle_sets(rows, shingle, classes.select("id", F.col("low").alias("ref")).join(ends, "id", "left_semi")), "sets")
         if not sets.groupBy("id").count().where("count > 1").isEmpty():
             sets = materialize(sets.dropDuplicates(["id"]), "sets")
         release(rows.sparkSession)
-        part = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"{c}_set"))
+        side_set = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"{c}_set"))
         both = F.size(F.array_intersect("src_set", "dst_set"))
         alike = both * q >= (F.size("src_set") + F.size("dst_set") - both) * p
-        out = materialize(close.join(part("src"), "src").join(part("dst"), "dst").where(alike).select("src", "dst"), "alike")
+        out = materialize(close.join(side_set("src"), "src").join(side_set("dst"), "dst").where(alike).select("src", "dst"), "alike")
         for x in (close, sets):
             discard(x)
         release(rows.sparkSession)
