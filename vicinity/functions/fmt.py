@@ -6,18 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def fixed(v: Column, digits: int) -> Column:
+    """``v`` with so many decimals (1 at least), the exact binary value rounded to nearest and ties to even, as C prints it.
+    The JVM's own format rounds the shortest decimal form, ties up."""
+    v = v.cast("double")
+    x, scale = F.abs(v), 10**digits
+    whole = F.floor(x)
+    rest = x - whole
+    k = F.floor(rest * scale)
+    # 2 * scale * rest - (2 k + 1) by its sign: both halves of rest take their products without rounding
+    high = F.floor(rest * 2.0**26) / 2.0**26
+    beyond = (high * (2.0 * scale) - (2 * k + 1)) + (rest - high) * (2.0 * scale)
+    up = (beyond > 0) | ((beyond == 0) & (k % 2 == 1))
+    total = whole * scale + k + up.cast("long")
+    text = F.concat(F.when(v < 0, "-").otherwise(""), F.floor(total / scale).cast("string"), F.lit("."), F.lpad((total % scale).cast("string"), digits, "0"))
+    return F.when(x < 2.0**40, text).when(v.isNotNull(), F.format_string(f"%.{digits}f", v))
+
+
 def _scaled(n: Column, base: float, units: tuple[str, ...], last: str, last_digits: int, suffix: str = "") -> Column:
-    n = n.cast("double")
-    out = F
-    for k, unit in enumerate(units):
-        value = n
-        for _ in range(k):
-            value = value / base
-        out = out.when(F.abs(value) < base, F.format_string(f"%.1f{unit}{suffix}", value))
-    value = n
-    for _ in units:
+    value, out = n.cast("double"), F
+    for unit in units:
+        out = out.when(F.abs(value) < base, F.struct(value.alias("value"), F.lit(unit).alias("unit"), F.lit(False).alias("is_last")))
         value = value / base
-    return out.otherwise(F.format_string(f"%.{last_digits}f{last}{suffix}", value))
+    out = out.otherwise(F.struct(value.alias("value"), F.lit(last).alias("unit"), F.lit(True).alias("is_last")))
+    value = out.getField("value")
+    text = fixed(value, 1) if last_digits == 1 else F.when(out.getField("is_last"), fixed(value, last_digits)).otherwise(fixed(value, 1))
+    return F.concat(text, out.getField("unit"), F.lit(suffix))
 
 
 def format_large_number(n: Column) -> Column:
@@ -44,4 +58,5 @@ def list_text(values: Column) -> Column:
 
 
 def timer_text(seconds: Column, rank: Column | None = None) -> Column:
-    return F.format_string("time=%.3f", seconds) if rank is None else F.format_string("rank=%d,time=%.3f", rank, seconds)
+    time = F.concat(F.lit("time="), fixed(seconds, 3))
+    return time if rank is None else F.concat(F.lit("rank="), rank.cast("string"), F.lit(","), time)
