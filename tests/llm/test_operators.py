@@ -82,7 +82,7 @@ def run(spark, name, folder, key="doc_id"):
     return out
 
 
-@pytest.mark.parametrize("name", ["op1_topk", "op2_url_filter", "op5_exact_dedup"])
+@pytest.mark.parametrize("name", sorted(queries.sql()))
 def test_sql(spark, folder, name):
     import duckdb
     from oracle import rows

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import finished, scratch_mark
 
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -94,6 +95,9 @@ QUERIES = {f.__name__: f for f in (op1_topk, op2_url_filter, op3_substring_dedup
 
 
 def sql() -> dict[str, str]:
-    from . import exact_dedup, topk, url_filter
+    from . import exact_dedup, substring_dedup, suffix_dedup, topk, url_filter
 
-    return {"op1_topk": topk.SQL, "op2_url_filter": url_filter.sql(), "op5_exact_dedup": exact_dedup.SQL}
+    return {
+        "op1_topk": topk.SQL, "op2_url_filter": url_filter.sql(), "op3_substring_dedup": substring_dedup.SQL,
+        "op5_exact_dedup": exact_dedup.SQL, "op10_suffix_dedup": suffix_dedup.SQL,
+    }

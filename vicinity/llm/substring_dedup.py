@@ -264,3 +264,17 @@ def longest_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         candidates = materialize(alive.join(ahead, ["doc_id", "pos"]).select("doc_id", "pos", F.lit(1).alias("m")), "candidates")
         length *= 2
     return docs.sparkSession.createDataFrame(out or [(window, 0)], "length int, windows long")
+
+
+#: The removal over 20 words as DuckDB SQL, for tables whose doc_ids are unique and not null.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS pos FROM d),
+windows AS (SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 19], ' ')) AS k FROM starts),
+later AS (SELECT doc_id, pos FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS i FROM later),
+gone AS (SELECT doc_id, list(i) AS g FROM covered GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""

@@ -231,3 +231,22 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
         f", rest {text.schema['rest'].dataType.simpleString()}" for _ in rest
     )
     return joined.mapInArrow(lambda b: _remove(b, length), schema)
+
+
+#: The removal over 400 bytes as DuckDB SQL, for tables whose doc_ids are unique and not null.
+SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS pos FROM d),
+strings AS (SELECT doc_id, pos, md5_number(b[pos:pos + 399]) AS k FROM starts),
+again AS (SELECT doc_id, pos FROM strings QUALIFY count(*) OVER (PARTITION BY k) > 1),
+marked AS (SELECT doc_id, pos, pos > lag(pos, 1, -400) OVER (PARTITION BY doc_id ORDER BY pos) + 400 AS fresh FROM again),
+runs AS (SELECT doc_id, pos, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM marked),
+spans AS (SELECT doc_id, min(pos) AS first, max(pos) + 399 AS last FROM runs GROUP BY doc_id, run),
+edges AS (SELECT doc_id, lag(last, 1, 0) OVER (PARTITION BY doc_id ORDER BY first) + 1 AS a, first - 1 AS z, last - first + 1 AS size, 1 AS spans FROM spans
+  UNION ALL SELECT doc_id, max(last) + 1, NULL, 0, 0 FROM spans GROUP BY doc_id
+  UNION ALL SELECT doc_id, 1, NULL, 0, 0 FROM d WHERE doc_id NOT IN (SELECT doc_id FROM spans)),
+pieces AS (SELECT doc_id, a, CASE WHEN coalesce(z, octet_length(b)) >= a THEN hex(b[a:coalesce(z, octet_length(b))]) ELSE '' END AS piece, size, spans, octet_length(b) AS n
+  FROM edges JOIN d USING (doc_id))
+SELECT doc_id, any_value(n)::BIGINT AS n_bytes, sum(size)::BIGINT AS n_removed, sum(spans)::BIGINT AS n_spans, sha256(unhex(string_agg(piece, '' ORDER BY a))) AS kept_sha256
+FROM pieces GROUP BY doc_id
+"""
