@@ -135,3 +135,21 @@ def test_rotation(d):
 
     turn = rotation(d, np.random.default_rng(d))
     assert np.allclose(turn @ turn.T, np.eye(d)) and np.linalg.det(turn) == pytest.approx(1)
+
+
+def test_pairs_a_rounding_from_the_radius_are_those_of_sql(spark):
+    import duckdb
+
+    v = np.random.default_rng(8).normal(size=(60, 64)).astype(np.float32)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p AS SELECT unnest(range(60)) AS id, unnest($1::FLOAT[][]) AS v", [v.tolist()])
+    of = {(a, b): np.float32(d) for a, b, d in con.execute("SELECT a.id, b.id, list_distance(a.v, b.v) FROM p a JOIN p b ON a.id <> b.id").fetchall()}
+    assert all(d == distances(v[a : a + 1], v[b : b + 1])[0, 0] for (a, b), d in of.items())
+    two = v[:, None] - v[None]
+    twice = np.sqrt(np.add.accumulate(two * two, axis=2, dtype=np.float32)[:, :, -1])  # squares rounded by themselves
+    a, b = next(x for x in of if twice[x] != of[x])
+    r = float(min(twice[a, b], of[a, b]))
+    want = {x for x, d in of.items() if d <= np.float32(r)}
+    assert ((a, b) in want) != bool(twice[a, b] <= np.float32(r))
+    for method, shared in (("bf", True), ("ct", False)):
+        assert edges(points(spark, v.tolist()).neighbors(r, method, chunk=16, shared=shared)) == want

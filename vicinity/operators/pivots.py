@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..functions.distance import distances, paired, slack, within
+from ..functions.distance import paired, rough_distances, slack, within
 
 #: Pivots of a node at most. Where so many haven't brought its points within 1 / cover of its radius, as in many
 #: dimensions, balls don't tell points apart, and the node is a leaf.
@@ -25,7 +25,7 @@ class PivotTree:
         self.root = self._node(np.arange(len(points)), 0) if len(points) else None
 
     def _node(self, members: np.ndarray, center: int):
-        d = distances(self.points[members], self.points[center : center + 1])[:, 0]
+        d = rough_distances(self.points[members], self.points[center : center + 1])[:, 0]
         radius = d.max()
         self.comps += len(members)
         if len(members) <= self.leaf_size or radius == 0:
@@ -37,7 +37,7 @@ class PivotTree:
                 return center, radius, members, None
             self.comps += len(members)
             new = int(members[nearest.argmax()])
-            d = distances(self.points[members], self.points[new : new + 1])[:, 0]
+            d = rough_distances(self.points[members], self.points[new : new + 1])[:, 0]
             closer = d < nearest
             nearest[closer], site[closer] = d[closer], len(pivots)
             pivots.append(new)
@@ -50,7 +50,7 @@ class PivotTree:
         todo = [(self.root, np.arange(len(q)))] if self.root else []
         while todo:
             (center, reach, members, children), at = todo.pop()
-            d = distances(q[at], self.points[center : center + 1])[:, 0]
+            d = rough_distances(q[at], self.points[center : center + 1])[:, 0]
             self.comps += len(at)
             at = at[d <= reach + r + slack(q.shape[1], d + reach + r)]
             if not len(at):
