@@ -151,5 +151,5 @@ def test_pairs_a_rounding_from_the_radius_are_those_of_sql(spark):
     r = float(min(twice[a, b], of[a, b]))
     want = {x for x, d in of.items() if d <= np.float32(r)}
     assert ((a, b) in want) != bool(twice[a, b] <= np.float32(r))
-    for method, shared in (("bf", True), ("ct", False)):
+    for method, shared in (("bf", True), ("bf", False), ("ct", False)):
         assert edges(points(spark, v.tolist()).neighbors(r, method, chunk=16, shared=shared)) == want
