@@ -39,9 +39,12 @@ def format_large_number(n: Column) -> Column:
     return _scaled(n, 1000.0, ("", "K", "M", "B", "T", "P"), "E", 2)
 
 
-def format_bytes(n: Column, suffix: str = "B") -> Column:
-    """1536 -> 1.5KB; steps of 1024 up to Z, then Y."""
-    return _scaled(n, 1024.0, ("", "K", "M", "G", "T", "P", "E", "Z"), "Y", 1, suffix)
+def format_bytes(n: Column, suffix: str = "B", unit: str | None = None) -> Column:
+    """1536 -> 1.5KB; steps of 1024 up to Z, then Y. With ``unit`` ("K") that one, whatever the size."""
+    units = ("", "K", "M", "G", "T", "P", "E", "Z")
+    if unit is not None:
+        return F.concat(fixed(n.cast("double") / 1024.0 ** (*units, "Y").index(unit), 1), F.lit(unit + suffix))
+    return _scaled(n, 1024.0, units, "Y", 1, suffix)
 
 
 def basename(path: Column) -> Column:

@@ -223,12 +223,12 @@ def convert(spark: SparkSession, source: str, target: str, start: int = 0, count
     return write_points(read_points(spark, source, start, count), target)
 
 
-def catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, num, dim, type, size_bytes, size); files of unknown kind are left out."""
+def catalog(spark: SparkSession, paths: list[str], unit: str | None = None) -> DataFrame:
+    """(path, num, dim, type, size_bytes, size); files of unknown kind are left out. ``size`` is in the unit that suits each file, or in ``unit``."""
     rows = []
     for p in paths:
         if os.path.splitext(p)[1] in FORMATS:
             s = file_layout(spark, p)
             rows.append((p, s.rows, s.dim, "uint8" if s.kind == ".u8bin" else "float32", s.bytes))
     df = spark.createDataFrame(rows, "path string, num long, dim int, type string, size_bytes long")
-    return df.withColumn("size", format_bytes(F.col("size_bytes")))
+    return df.withColumn("size", format_bytes(F.col("size_bytes"), unit=unit))
