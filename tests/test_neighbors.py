@@ -155,7 +155,7 @@ def test_pairs_a_rounding_from_the_radius_are_those_of_sql(spark):
         assert edges(points(spark, v.tolist()).neighbors(r, method, chunk=16, shared=shared)) == want
 
 
-@pytest.mark.parametrize(("method", "options"), (("auto", {}), ("cvor", {})))
+@pytest.mark.parametrize(("method", "options"), (("auto", {}), ("cvor", {}), ("gvor", {"balancing": "steal", "queries_per_tree": 64})))
 def test_copies_go_through_cells_once(spark, method, options):
     rng = np.random.default_rng(9)
     rows = np.round(rng.normal(size=(40, 2)) * 9).tolist()
