@@ -321,6 +321,42 @@ def test_pairs_of_a_crowd_are_bounded(spark, monkeypatch):
     assert all(n <= 2 * 13 * 11 * copies for n, copies in zip(counts, (400, 1600), strict=True)) and counts[1] < 0.15 * 1600 * 1600 / 2
 
 
+def test_all_similar_pairs_that_meet_in_a_crowd_are_grouped(spark):
+    """Pairs of similarity 0.8 or more among texts a little less alike: in most entries where they meet, the center is like neither."""
+    from itertools import combinations
+    from math import sqrt
+
+    from vicinity.llm import simhash
+
+    rng = random.Random(11)
+    change = lambda w, n: [f"w{rng.randrange(9000)}" if k in at else x for at in [set(rng.sample(range(len(w)), n))] for k, x in enumerate(w)]
+    base = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    first = [change(base, 3) for _ in range(200)]
+    texts = first + [change(w, 3) for w in first]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "ref long, text string")
+    width, segments = simhash.layout(len(texts), 0.8)
+    prints = {r["ref"]: r for r in simhash.wide_prints(df, 5, width, segments).collect()}
+    share, bits = simhash.differing_share(0.8), 64 * len(prints[0]["fp"])
+    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    balls = [c for r in range(simhash.FLIPS + 1) for c in combinations(range(simhash.WEAK), r)]
+
+    def meet(a, b):
+        for s in range(segments):
+            word = (s * width // 64 + 2) % len(a["fp"])
+            if apart(a["fp"][word], b["fp"][word]) <= 64 * share + 3.5 * sqrt(64 * share * (1 - share)):
+                for x, y in ((a, b), (b, a)):
+                    if any(x["own"][s] ^ sum(1 << (x["weak"][s] >> 6 * k & 63) for k in ball) == y["own"][s] for ball in balls):
+                        return True
+        return False
+
+    pairs, _ = brute_groups([shingles(t) for t in texts])
+    close = [(a, b) for a, b in pairs if sum(map(apart, prints[a]["fp"], prints[b]["fp"])) <= bits * share + 3 * sqrt(bits * share * (1 - share))]
+    met = [(a, b) for a, b in close if meet(prints[a], prints[b])]
+    assert len(met) > 100
+    got = {r["ref"]: r["leader"] for r in simhash.similar_classes(df).collect()}
+    assert [p for p in met if got[p[0]] != got[p[1]]] == []
+
+
 def test_rows_are_known_by_doc_id_and_text(spark, tmp_path):
     import corpus_pipeline
 

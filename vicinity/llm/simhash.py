@@ -299,7 +299,7 @@ def wide_prints(rows: DataFrame, shingle: int, width: int, segments: int) -> Dat
 
 
 def segment_rows(classes: DataFrame, width: int, probes: bool) -> DataFrame:
-    """(key, id, comp, peek): one row for each segment of each class, and with ``probes`` one for each member of the Hamming ball over its least decided bits."""
+    """(key, id, comp, peek, own): one row for each segment of each class, and with ``probes`` one for each other member (not ``own``) of the Hamming ball over its least decided bits."""
     import pyarrow as pa
 
     balls = [list(c) for r in range(1, FLIPS + 1) for c in combinations(range(WEAK), r)] if probes else []
@@ -318,10 +318,11 @@ def segment_rows(classes: DataFrame, width: int, probes: bool) -> DataFrame:
                 peek = fp[:, (np.arange(segments) * width // 64 + 2) % fp.shape[1]]
                 times = len(values)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), *(pa.array(np.repeat(x, segments * times)) for x in (ids, comp)), pa.array(np.repeat(peek.ravel(), times))], ["key", "id", "comp", "peek"]
+                    [pa.array(key), *(pa.array(np.repeat(x, segments * times)) for x in (ids, comp)), pa.array(np.repeat(peek.ravel(), times)), pa.array(np.arange(len(key)) % times == 0)],
+                    ["key", "id", "comp", "peek", "own"],
                 )
 
-    return classes.select("id", "comp", "own", "weak", "fp").mapInArrow(run, "key long, id long, comp long, peek long")
+    return classes.select("id", "comp", "own", "weak", "fp").mapInArrow(run, "key long, id long, comp long, peek long, own boolean")
 
 
 def shingle_sets(rows: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
@@ -351,14 +352,15 @@ def shingle_sets(rows: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
 def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int, similarity: Fraction) -> DataFrame:
     """Links (src < dst) between ids of ``classes``, all of ``similarity`` (Jaccard) or more.
 
-    A table entry (segment and value) may hold any number of texts, so not all pairs within one are formed: each text of an
-    entry and each probe of it is compared with the entry's center, the text that shares most entries with others.
-    First each text meets the one best center of its own entries; what that connects isn't compared again. Then texts and
-    their probes meet the centers that they aren't connected to, and at last, of those that stay apart from an entry's
-    center, each meets a center elected among them. So rows grow with the texts, whatever an entry holds. Pairs are verified
+    A table entry (segment and value) may hold any number of texts, and copies of one another need not all be paired: each
+    text of an entry and each probe of it is first compared with the entry's center, the text that shares most entries with
+    others. First each text meets the one best center of its own entries; what that connects isn't compared again. Then texts
+    and their probes meet the centers that they aren't connected to, and of those that stay apart from an entry's center, each
+    meets a center elected among them. At last, whatever meets in an entry and isn't connected yet is compared pair by pair;
+    there is no limit to that, so entries of many texts that are apart cost the square of their number. Pairs are verified
     over all bits of the fingerprints (three standard deviations beyond the mean distance at ``similarity``), then on their
-    sets. A similar pair is lost if no segment meets it, or if each entry that it meets in has a center that neither is
-    connected to; README has the measured recall.
+    sets. A similar pair is lost if no segment meets it, or if its fingerprints are further apart than that; README has the
+    measured recall. Links are complete up to connection: pairs that other links connect may be left out.
     """
     from .components import connected_components
 
@@ -392,7 +394,8 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
 
     def centers(table: DataFrame) -> DataFrame:
         best = F.max_by(F.struct("id", "comp", "peek"), F.struct("heat", "id"))
-        out = table.groupBy("key").agg(best.alias("c")).select("key", F.col("c.id").alias("c_id"), F.col("c.comp").alias("c_comp"), F.col("c.peek").alias("c_peek"))
+        out = table.groupBy("key").agg(best.alias("c"), F.count("*").alias("texts"))
+        out = out.select("key", F.col("c.id").alias("c_id"), F.col("c.comp").alias("c_comp"), F.col("c.peek").alias("c_peek"), "texts")
         return materialize(out, "centers")
 
     near = F.bit_count(F.col("peek").bitwiseXOR(F.col("c_peek"))) <= 64 * share + 3.5 * sqrt(64 * share * (1 - share))
@@ -413,15 +416,40 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
     known = materialize(alone.drop("comp").join(grouped(links), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "grouped-classes")
     table = segment_rows(known, width, False).join(heat, "id", "left").withColumn("heat", F.coalesce("heat", F.lit(0)))
     best = centers(table)
-    met = segment_rows(known, width, True).join(best, "key").where((F.col("comp") != F.col("c_comp")) & near)
-    met = materialize(met.select("key", "id", "comp", "peek", "c_id"), "met")
+    met = segment_rows(known, width, True).join(best, "key").withColumn("apart", (F.col("comp") != F.col("c_comp")) & near)
+    every = materialize(met.where("apart OR texts > 1").select("key", "id", "comp", "peek", "own", "c_id", "texts", "apart"), "met")
+    met = every.where("apart").select("key", "id", "comp", "peek", "c_id")
     # of those in an entry itself that are apart from its center, another center
     second = centers(met.join(table.select("key", "id", "heat"), ["key", "id"]))
     again = met.drop("c_id").join(second, "key").where((F.col("comp") != F.col("c_comp")) & near)
     rest = verified(materialize(met.select(*pair).unionByName(again.select(*pair)).distinct(), "pairs"))
-    for x in (known, best, met, second, heat):
+    for x in (known, best, second, heat):
         discard(x)
-    return links.unionByName(rest)
+    links = materialize(links.unionByName(rest), "links")
+    left = _unconnected(every, grouped(links), share)
+    return links if left.isEmpty() else links.unionByName(verified(left))
+
+
+def _unconnected(met: DataFrame, groups: DataFrame, share: float) -> DataFrame:
+    """(src, dst): pairs without an entry's center that meet in it and are not in one of ``groups`` (id, comp).
+
+    Most texts of an entry are in one group; that one is told apart, so that the join doesn't form the pairs within it.
+    """
+    crowd = met.where("texts > 1").select("key", "id", "peek", "own", (F.col("id") != F.col("c_id")).alias("plain"))
+    table = crowd = materialize(crowd.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "crowd")
+    several = crowd.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    sizes = crowd.where("own AND plain").groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = materialize(sizes.join(several, "key").groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main")), "main-groups")
+    crowd = crowd.join(main, "key").withColumn("in_main", F.col("comp") == F.col("main"))
+    texts = crowd.where("own AND plain").select("key", "in_main", F.col("id").alias("other"), F.col("comp").alias("o_comp"), F.col("peek").alias("o_peek"))
+    sides = F.when(F.col("in_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    probes = crowd.where("plain").select("key", F.explode(sides).alias("in_main"), "id", "comp", "peek")
+    near = F.bit_count(F.col("peek").bitwiseXOR(F.col("o_peek"))) <= 64 * share + 3.5 * sqrt(64 * share * (1 - share))
+    pairs = probes.join(texts, ["key", "in_main"]).where((F.col("comp") != F.col("o_comp")) & near)
+    pairs = materialize(pairs.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct(), "unconnected")
+    for x in (met, table, main):
+        discard(x)
+    return pairs
 
 
 def similar_classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
