@@ -369,11 +369,7 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("fp").alias(f"{c}_fp"))
-        apart = F.aggregate(F.zip_with("src_fp", "dst_fp", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-        close = pairs.join(side("src"), "src").join(side("dst"), "dst")
-        tiny = F.least("src_n", "dst_n") <= TINY
-        part, bits = F.when(tiny, max(share, TINY_SHARE)).otherwise(share), F.size("src_fp") * 64
-        close = close.where((F.least("src_n", "dst_n") * q >= F.greatest("src_n", "dst_n") * p) & (apart <= bits * part + 3 * F.sqrt(bits * part * (1 - part))))
+        close = pairs.join(side("src"), "src").join(side("dst"), "dst").where(_maybe_alike("src", "dst", similarity))
         close = materialize(close.select("src", "dst"), "close-pairs")
         ends = close.select(F.col("src").alias("id")).unionByName(close.select(F.col("dst").alias("id"))).distinct()
         sets = materialize(shingle_sets(rows, shingle, classes.select("id", F.col("low").alias("ref")).join(ends, "id", "left_semi")), "sets")
@@ -426,27 +422,37 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
     for x in (known, best, second, heat):
         discard(x)
     links = materialize(links.unionByName(rest), "links")
-    left = _unconnected(every, grouped(links), share)
+    left = _unconnected(every, grouped(links), classes, similarity)
     return links if left.isEmpty() else links.unionByName(verified(left))
 
 
-def _unconnected(met: DataFrame, groups: DataFrame, share: float) -> DataFrame:
-    """(src, dst): pairs without an entry's center that meet in it and are not in one of ``groups`` (id, comp).
+def _maybe_alike(a: str, b: str, similarity: Fraction) -> F.Column:
+    """Of two texts, columns ``{a}_n, {a}_fp, {b}_n, {b}_fp``: by their sets' sizes and all bits of their fingerprints."""
+    p, q = similarity.numerator, similarity.denominator
+    share = differing_share(p / q)
+    apart = F.aggregate(F.zip_with(f"{a}_fp", f"{b}_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    least, most = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
+    part, bits = F.when(least <= TINY, max(share, TINY_SHARE)).otherwise(share), F.size(f"{a}_fp") * 64
+    return (least * q >= most * p) & (apart <= bits * part + 3 * F.sqrt(bits * part * (1 - part)))
+
+
+def _unconnected(met: DataFrame, groups: DataFrame, classes: DataFrame, similarity: Fraction) -> DataFrame:
+    """(src, dst): pairs without an entry's center that meet in it, are not in one of ``groups`` (id, comp), and may be alike.
 
     Most texts of an entry are in one group; that one is told apart, so that the join doesn't form the pairs within it.
     """
-    crowd = met.where("texts > 1").select("key", "id", "peek", "own", (F.col("id") != F.col("c_id")).alias("plain"))
+    crowd = met.where("texts > 1").select("key", "id", "own", (F.col("id") != F.col("c_id")).alias("plain"))
     table = crowd = materialize(crowd.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "crowd")
     several = crowd.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     sizes = crowd.where("own AND plain").groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = materialize(sizes.join(several, "key").groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main")), "main-groups")
-    crowd = crowd.join(main, "key").withColumn("in_main", F.col("comp") == F.col("main"))
-    texts = crowd.where("own AND plain").select("key", "in_main", F.col("id").alias("other"), F.col("comp").alias("o_comp"), F.col("peek").alias("o_peek"))
-    sides = F.when(F.col("in_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-    probes = crowd.where("plain").select("key", F.explode(sides).alias("in_main"), "id", "comp", "peek")
-    near = F.bit_count(F.col("peek").bitwiseXOR(F.col("o_peek"))) <= 64 * share + 3.5 * sqrt(64 * share * (1 - share))
-    pairs = probes.join(texts, ["key", "in_main"]).where((F.col("comp") != F.col("o_comp")) & near)
-    pairs = materialize(pairs.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct(), "unconnected")
+    crowd = crowd.where("plain").join(main, "key").withColumn("in_main", F.col("comp") == F.col("main")).join(classes.select("id", "n", "fp"), "id")
+    side = lambda c: [F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("n").alias(f"{c}_n"), F.col("fp").alias(f"{c}_fp")]
+    texts = crowd.where("own").select("key", "in_main", *side("b"))
+    halves = F.when(F.col("in_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    probes = crowd.select("key", F.explode(halves).alias("in_main"), *side("a"))
+    pairs = probes.join(texts, ["key", "in_main"]).where((F.col("a_comp") != F.col("b_comp")) & _maybe_alike("a", "b", similarity))
+    pairs = materialize(pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "unconnected")
     for x in (met, table, main):
         discard(x)
     return pairs
