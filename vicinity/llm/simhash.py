@@ -367,10 +367,11 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
     p, q = similarity.numerator, similarity.denominator
     share = differing_share(p / q)
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, looked_at: bool = False) -> DataFrame:
+        """``looked_at``: sizes and fingerprints were."""
         side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("fp").alias(f"{c}_fp"))
-        close = pairs.join(side("src"), "src").join(side("dst"), "dst").where(_maybe_alike("src", "dst", similarity))
-        close = materialize(close.select("src", "dst"), "close-pairs")
+        close = pairs if looked_at else pairs.join(side("src"), "src").join(side("dst"), "dst").where(_maybe_alike("src", "dst", similarity))
+        close = close if looked_at else materialize(close.select("src", "dst"), "close-pairs")
         ends = close.select(F.col("src").alias("id")).unionByName(close.select(F.col("dst").alias("id"))).distinct()
         sets = materialize(shingle_sets(rows, shingle, classes.select("id", F.col("low").alias("ref")).join(ends, "id", "left_semi")), "sets")
         if not sets.groupBy("id").count().where("count > 1").isEmpty():
@@ -423,7 +424,7 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
         discard(x)
     links = materialize(links.unionByName(rest), "links")
     left = _unconnected(every, grouped(links), classes, similarity)
-    return links if left.isEmpty() else links.unionByName(verified(left))
+    return links if left.isEmpty() else links.unionByName(verified(left, looked_at=True))
 
 
 def _maybe_alike(a: str, b: str, similarity: Fraction) -> F.Column:
