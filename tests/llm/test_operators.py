@@ -357,6 +357,36 @@ def test_all_similar_pairs_that_meet_in_a_crowd_are_grouped(spark):
     assert [p for p in met if got[p[0]] != got[p[1]]] == []
 
 
+def test_pairs_just_under_the_threshold_are_not_verified_on_their_sets(spark, monkeypatch):
+    """Copies with 3 of 150 words changed are of a similarity of 0.7 or so: odd sketches tell most of their pairs apart, and none of 0.8."""
+    from itertools import combinations
+
+    from vicinity.llm import simhash
+
+    counts, keep = {}, simhash.materialize
+
+    def count(df, name):
+        out = keep(df, name)
+        counts[name] = counts.get(name, 0) + (out.count() if name in ("close-pairs", "unconnected") else 0)
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", count)
+    rng = random.Random(12)
+    base, texts = [f"w{rng.randrange(9000)}" for _ in range(150)], []
+    for _ in range(400):
+        at = set(rng.sample(range(150), 3))
+        texts.append([f"w{rng.randrange(9000)}" if k in at else x for k, x in enumerate(base)])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "ref long, text string")
+    prints = {r["ref"]: r for r in simhash.wide_prints(df, 5, *simhash.layout(len(texts), 0.8)).collect()}
+    sets = [shingles(t) for t in texts]
+    for a, b in combinations(range(100), 2):
+        assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(prints[a]["odd"], prints[b]["odd"], strict=True)) <= len(sets[a] ^ sets[b])
+    pairs, group = brute_groups(sets)
+    got = {r["ref"]: r["leader"] for r in simhash.similar_classes(df).collect()}
+    assert all(group[g] == group[i] for i, g in got.items()) and sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+    assert counts["close-pairs"] + counts["unconnected"] < 3 * len(pairs) + 400
+
+
 def test_rows_are_known_by_doc_id_and_text(spark, tmp_path):
     import corpus_pipeline
 

@@ -213,6 +213,8 @@ WEAK, FLIPS = 4, 2
 MEET = 0.965
 #: Four shingles and the same with a fifth differ in more bits than larger sets, as four often tie: 6/16 of bits, half of them then.
 TINY, TINY_SHARE = 5, 0.1875
+#: Bits of an odd sketch: a bit is set if it is the place of an odd number of a set's hashes.
+ODD_BITS = 512
 #: Size of the bitmap of refs whose sets are asked for.
 SIEVE_BITS = 1 << 26
 _LOWER_BYTES = np.frombuffer(_LOWER, np.uint8)
@@ -264,24 +266,26 @@ def layout(texts: int, similarity: float) -> tuple[int, int]:
 
 
 def wide_prints(rows: DataFrame, shingle: int, width: int, segments: int) -> DataFrame:
-    """(ref, id, n, own, weak, fp) for each row (ref, text): hash and size of the shingle set, values and least decided bits of the segments, fingerprint."""
+    """(ref, id, n, own, weak, fp, odd) for each row (ref, text): hash and size of the shingle set, values and least decided bits of the segments, fingerprint, odd sketch."""
     import pyarrow as pa
 
     words = max(WIDE, -(-width * segments // 64))
 
     def part(refs, sets):
         counts = np.zeros((len(sets), 64 * words), np.int32)
+        odd = np.zeros((len(sets), ODD_BITS), np.uint8)
         for i, s in enumerate(sets):
             if len(s):
+                odd[i] = np.bincount((mix(s) % np.uint64(ODD_BITS)).astype(np.int64), minlength=ODD_BITS) & 1
                 counts[i] = 2 * bit_counts(np.stack([s, *(mix(s + np.uint64(k)) for k in range(1, words))], axis=1)).ravel() - len(s)
-        fp = np.packbits(counts > 0, axis=1, bitorder="little").view("<i8").astype(np.int64)
+        fp, odd = (np.packbits(x, axis=1, bitorder="little").view("<i8").astype(np.int64) for x in (counts > 0, odd))
         margin = counts[:, : width * segments].reshape(len(sets), segments, width)
         own = (margin > 0).astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
         least = np.argsort(np.abs(margin), axis=2, kind="stable")[:, :, :WEAK].astype(np.int64)
         weak = (least << (6 * np.arange(WEAK, dtype=np.int64))).sum(2)
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
         ids, n = pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())
-        return pa.RecordBatch.from_arrays([refs, ids, n, lists(own), lists(weak), lists(fp)], ["ref", "id", "n", "own", "weak", "fp"])
+        return pa.RecordBatch.from_arrays([refs, ids, n, lists(own), lists(weak), lists(fp), lists(odd)], ["ref", "id", "n", "own", "weak", "fp", "odd"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -295,7 +299,7 @@ def wide_prints(rows: DataFrame, shingle: int, width: int, segments: int) -> Dat
                 yield part(b.column(0).slice(done), held)
 
     ref = rows.schema["ref"].dataType.simpleString()
-    return rows.select("ref", "text").mapInArrow(run, f"ref {ref}, id long, n int, own array<long>, weak array<long>, fp array<long>")
+    return rows.select("ref", "text").mapInArrow(run, f"ref {ref}, id long, n int, own array<long>, weak array<long>, fp array<long>, odd array<long>")
 
 
 def segment_rows(classes: DataFrame, width: int, probes: bool) -> DataFrame:
@@ -358,8 +362,8 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
     and their probes meet the centers that they aren't connected to, and of those that stay apart from an entry's center, each
     meets a center elected among them. At last, whatever meets in an entry and isn't connected yet is compared pair by pair;
     there is no limit to that, so entries of many texts that are apart cost the square of their number. Pairs are verified
-    over all bits of the fingerprints (three standard deviations beyond the mean distance at ``similarity``), then on their
-    sets. A similar pair is lost if no segment meets it, or if its fingerprints are further apart than that; README has the
+    over all bits of the fingerprints (three standard deviations beyond the mean distance at ``similarity``) and of the odd
+    sketches (which lose none), then on their sets. A similar pair is lost if no segment meets it, or if its fingerprints are further apart than that; README has the
     measured recall. Links are complete up to connection: pairs that other links connect may be left out.
     """
     from .components import connected_components
@@ -369,7 +373,7 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
 
     def verified(pairs: DataFrame, looked_at: bool = False) -> DataFrame:
         """``looked_at``: sizes and fingerprints were."""
-        side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("fp").alias(f"{c}_fp"))
+        side = lambda c: classes.select(F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in _LOOKS))
         close = pairs if looked_at else pairs.join(side("src"), "src").join(side("dst"), "dst").where(_maybe_alike("src", "dst", similarity))
         close = close if looked_at else materialize(close.select("src", "dst"), "close-pairs")
         ends = close.select(F.col("src").alias("id")).unionByName(close.select(F.col("dst").alias("id"))).distinct()
@@ -398,7 +402,7 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
     near = F.bit_count(F.col("peek").bitwiseXOR(F.col("c_peek"))) <= 64 * share + 3.5 * sqrt(64 * share * (1 - share))
     pair = (F.least("id", "c_id").alias("src"), F.greatest("id", "c_id").alias("dst"))
 
-    alone = classes.withColumn("comp", F.col("id"))
+    alone = classes.drop("odd").withColumn("comp", F.col("id"))
     table = materialize(segment_rows(alone, width, False), "segments")
     crowded = materialize(table.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "crowded")
     heat = materialize(table.join(crowded, "key").groupBy("id").agg(F.sum("texts").alias("heat")), "heat")
@@ -427,14 +431,22 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
     return links if left.isEmpty() else links.unionByName(verified(left, looked_at=True))
 
 
+#: What tells whether two texts may be alike.
+_LOOKS = ("n", "fp", "odd")
+
+
 def _maybe_alike(a: str, b: str, similarity: Fraction) -> F.Column:
-    """Of two texts, columns ``{a}_n, {a}_fp, {b}_n, {b}_fp``: by their sets' sizes and all bits of their fingerprints."""
+    """Of two texts, columns of _LOOKS behind ``{a}_`` and ``{b}_``: by their sets' sizes, all bits of their fingerprints, and their
+    odd sketches. The last loses no pair: where two sketches differ, an odd number of hashes are in one set only, so sets differ
+    in as many hashes as sketches do in bits, or in more; that crowds of texts just under ``similarity`` fail by."""
     p, q = similarity.numerator, similarity.denominator
     share = differing_share(p / q)
-    apart = F.aggregate(F.zip_with(f"{a}_fp", f"{b}_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    bits_apart = lambda c: F.aggregate(F.zip_with(f"{a}_{c}", f"{b}_{c}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    apart = bits_apart("fp")
     least, most = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
     part, bits = F.when(least <= TINY, max(share, TINY_SHARE)).otherwise(share), F.size(f"{a}_fp") * 64
-    return (least * q >= most * p) & (apart <= bits * part + 3 * F.sqrt(bits * part * (1 - part)))
+    room = (least + most) * (q - p) >= bits_apart("odd") * (q + p)
+    return (least * q >= most * p) & room & (apart <= bits * part + 3 * F.sqrt(bits * part * (1 - part)))
 
 
 def _unconnected(met: DataFrame, groups: DataFrame, classes: DataFrame, similarity: Fraction) -> DataFrame:
@@ -447,8 +459,8 @@ def _unconnected(met: DataFrame, groups: DataFrame, classes: DataFrame, similari
     several = crowd.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     sizes = crowd.where("own AND plain").groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = materialize(sizes.join(several, "key").groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main")), "main-groups")
-    crowd = crowd.where("plain").join(main, "key").withColumn("in_main", F.col("comp") == F.col("main")).join(classes.select("id", "n", "fp"), "id")
-    side = lambda c: [F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("n").alias(f"{c}_n"), F.col("fp").alias(f"{c}_fp")]
+    crowd = crowd.where("plain").join(main, "key").withColumn("in_main", F.col("comp") == F.col("main")).join(classes.select("id", *_LOOKS), "id")
+    side = lambda c: [F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("comp", *_LOOKS))]
     texts = crowd.where("own").select("key", "in_main", *side("b"))
     halves = F.when(F.col("in_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
     probes = crowd.select("key", F.explode(halves).alias("in_main"), *side("a"))
@@ -469,7 +481,7 @@ def similar_classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8)
     rows = rows.where("ref IS NOT NULL")
     width, segments = layout(rows.count(), similarity)
     prints = materialize(wide_prints(rows, shingle, width, segments), "wide-fingerprints")
-    firsts = [F.first(c).alias(c) for c in ("n", "own", "weak", "fp")]  # equal sets have equal ones
+    firsts = [F.first(c).alias(c) for c in ("n", "own", "weak", "fp", "odd")]  # equal sets have equal ones
     classes = materialize(prints.groupBy("id").agg(F.min("ref").alias("low"), F.count("*").alias("copies"), *firsts), "classes")
     prints = prints.select("ref", "id")
     member = connected_components(similar_links(rows, classes, shingle, width, Fraction(str(similarity)))).withColumnRenamed("node", "id")
