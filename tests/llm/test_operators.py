@@ -1,14 +1,17 @@
 """The ten operators against brute force on small hand-made tables."""
 
 import hashlib
+import os
 import random
 import re
+import shutil
 import unicodedata
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vicinity.llm import queries
 
@@ -691,3 +694,38 @@ def test_pipeline(spark, folder, texts):
     assert docs.count() > 0
     rows = corpus_pipeline.run(spark, folder)
     assert rows.count() == docs.count()
+
+
+def test_scratch_tables_are_written_without_helper_programs(spark, tmp_path, monkeypatch):
+    """A side file with checksums tells that Hadoop's local writer made a file, which starts ``chmod`` three times in the executor."""
+    from vicinity.llm import common, substring_dedup
+
+    monkeypatch.setattr(common, "delete_path", lambda spark, path: None)
+    words = " ".join(f"word{i}" for i in range(150))
+    docs = spark.createDataFrame([(i, f"start{i} {words} end{i}") for i in range(6)], "doc_id long, text string")
+    since = common.scratch_mark()
+    assert [r.n_removed for r in substring_dedup.substring_dedup(docs).orderBy("doc_id").collect()] == [0] + [150] * 5
+    folders = [p.removeprefix("file://") for p in common._made[since:]]
+    names = [x for p in folders for x in os.listdir(p)]
+    monkeypatch.undo()
+    common.finish(spark, since)
+    assert len(folders) >= 5 and any(x.startswith("part-") for x in names)
+    assert not [x for x in names if x.endswith(".crc")]
+
+
+def test_files_of_failed_attempts_are_not_data(spark, tmp_path):
+    """Tables that Python workers write: only what a task that ended well has named; all rows, empty tables, and buckets in their places."""
+    from vicinity.llm import common
+
+    docs = spark.createDataFrame([(i % 97 if i % 5 else None, "x" * i, {"a b": i}) for i in range(500)], "doc_id long, text string, rest struct<`a b`:long>")
+    out = common.materialize_arrow(docs.repartition(3), "test")
+    folder = out._vicinity_path.removeprefix("file://")
+    some = next(x for x in os.listdir(folder) if x.startswith("part-"))
+    shutil.copy(f"{folder}/{some}", f"{folder}/_attempt")
+    assert sorted(map(str, spark.read.parquet(out._vicinity_path).collect())) == sorted(map(str, docs.collect()))
+    assert common.materialize_arrow(docs.where("doc_id > 1000"), "test").collect() == []
+    text = common.bucketed(docs, "test", "doc_id")
+    assert text.schema["rest"].dataType == docs.schema["rest"].dataType
+    joined = text.join(text.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
+    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 400
+    assert joined.where("n > 4").count() == sum(n for n in Counter(i % 97 for i in range(500) if i % 5).values() if n > 4)
