@@ -7,6 +7,7 @@ import re
 import shutil
 import unicodedata
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -390,6 +391,50 @@ def test_pairs_just_under_the_threshold_are_not_verified_on_their_sets(spark, mo
     assert counts["close-pairs"] + counts["unconnected"] < 3 * len(pairs) + 400
 
 
+def rows_made(spark, since, what):
+    """Output rows, in all, of the plan nodes whose text ``what`` is found in, of the executions after the first ``since``."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executions = store.executionsList()
+    for i in range(since, executions.size()):
+        k = executions.apply(i).executionId()
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            metrics = [node.metrics().apply(j) for j in range(node.metrics().size())] if re.search(what, node.desc()) else []
+            for m in (m for m in metrics if m.name() == "number of output rows"):
+                value = values.get(m.accumulatorId())
+                made += int(value.get().replace(",", "")) if value.isDefined() else 0
+    return made
+
+
+def test_rows_of_an_entry_are_joined_once_and_only_if_they_can_form_a_pair(spark):
+    """Pairs of different groups that meet in an entry are as by plain loops; rows are looked up by entry once, without those that form no pair."""
+    from vicinity.llm import simhash
+
+    rng = random.Random(13)
+    groups = {i: rng.choice([0, 0, 0, 1, 2, i]) for i in range(60)}
+    entries = {}
+    for key in range(300):
+        ids = rng.sample(range(60), rng.randrange(2, 9))
+        entries[key] = [(i, rng.random() < 0.3, ids[0]) for i in ids]
+    for key in range(300, 400):  # one group only
+        entries[key] = [(i, True, 59) for i in range(60) if groups[i] == 0 and i != 59]
+    met = spark.createDataFrame([(key, i, own, c, 2) for key, rows in entries.items() for i, own, c in rows], "key long, id long, own boolean, c_id long, texts long")
+    classes = spark.createDataFrame([(i, 100, [7] * 8, [7] * 8) for i in range(60)], "id long, n int, fp array<long>, odd array<long>")
+    known = spark.createDataFrame(list(groups.items()), "id long, comp long")
+    pairs, useful = set(), 0
+    for rows in entries.values():
+        plain = [(i, own) for i, own, c in rows if i != c]
+        meet = [(a, b) for a, _ in plain for b, own in plain if own and groups[a] != groups[b]]
+        pairs |= {(min(p), max(p)) for p in meet}
+        useful += len({i for p in meet for i in p})
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = simhash._unconnected(met, known, classes, Fraction(4, 5)).collect()
+    assert sorted(map(tuple, got)) == sorted(pairs)
+    made = rows_made(spark, since, r"Join \[key#\w+\], \[key#\w+\], Inner")
+    assert 0 < made <= useful
+
+
 def test_rows_are_known_by_doc_id_and_text(spark, tmp_path):
     import corpus_pipeline
 

@@ -456,17 +456,18 @@ def _unconnected(met: DataFrame, groups: DataFrame, classes: DataFrame, similari
     """
     crowd = met.where("texts > 1").select("key", "id", "own", (F.col("id") != F.col("c_id")).alias("plain"))
     table = crowd = materialize(crowd.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "crowd")
-    several = crowd.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    sizes = crowd.where("own AND plain").groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = materialize(sizes.join(several, "key").groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main")), "main-groups")
-    crowd = crowd.where("plain").join(main, "key").select("key", "id", "own", "comp", (F.col("comp") == F.col("main")).alias("in_main"))
-    # in a main group: texts meet others that probe, and probes meet others' texts; an entry without any has no pairs
-    others = crowd.where("NOT in_main").groupBy("key").agg(F.max("own").alias("other_texts"))
-    crowd = materialize(crowd.join(others, "key").where("NOT in_main OR own OR other_texts").drop("other_texts"), "to-compare")
+    sizes = crowd.where("plain").groupBy("key", "comp").agg(F.count_if("own").alias("n"))
+    biggest = F.max_by("comp", F.struct("n", "comp")).alias("main")
+    main = sizes.groupBy("key").agg(biggest, F.count("*").alias("groups"), F.count_if(F.col("n") > 0).alias("with_texts"))
+    main = materialize(main.where("groups > 1 AND with_texts > 0").select("key", "main", (F.col("with_texts") > 1).alias("other_texts")), "main-groups")
+    # in a main group: texts meet others that probe, and probes meet others' texts; rows without any form no pairs
+    in_main = F.col("comp") == F.col("main")
+    crowd = crowd.where("plain").join(main, "key").where(~in_main | F.col("own") | F.col("other_texts"))
+    crowd = materialize(crowd.select("key", "id", "own", "comp", in_main.alias("in_main"), "other_texts"), "to-compare")
     told, crowd = crowd, crowd.join(classes.select("id", *_LOOKS), "id")
     side = lambda c: [F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("comp", *_LOOKS))]
     texts = crowd.where("own").select("key", "in_main", *side("b"))
-    halves = F.when(F.col("in_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    halves = F.array_compact(F.array(F.when(F.col("other_texts"), F.lit(False)), F.when(~F.col("in_main"), F.lit(True))))
     probes = crowd.select("key", F.explode(halves).alias("in_main"), *side("a"))
     pairs = probes.join(texts, ["key", "in_main"]).where((F.col("a_comp") != F.col("b_comp")) & _maybe_alike("a", "b", similarity))
     pairs = materialize(pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "unconnected")
