@@ -435,6 +435,27 @@ def test_rows_of_an_entry_are_joined_once_and_only_if_they_can_form_a_pair(spark
     assert 0 < made <= useful
 
 
+def test_probes_that_meet_only_their_own_group_are_left_out(spark, monkeypatch):
+    """Copies that are all connected at first: only texts' own rows are looked at again, not the probes."""
+    from vicinity.llm import simhash
+
+    counts, keep = {}, simhash.materialize
+
+    def count(df, name):
+        out = keep(df, name)
+        counts[name] = counts.get(name, 0) + (out.count() if name == "met" else 0)
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", count)
+    rng = random.Random(14)
+    base, rows = [f"w{rng.randrange(9000)}" for _ in range(300)], []
+    for i in range(60):
+        rows.append((i, " ".join(f"x{i}" if k == 5 * i else x for k, x in enumerate(base))))
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["group_id"] for r in got} == {0} and len(got) == 60
+    assert 0 < counts["met"] <= 60 * simhash.layout(60, 0.8)[1]
+
+
 def test_rows_are_known_by_doc_id_and_text(spark, tmp_path):
     import corpus_pipeline
 

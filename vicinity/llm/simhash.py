@@ -395,8 +395,8 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
 
     def centers(table: DataFrame) -> DataFrame:
         best = F.max_by(F.struct("id", "comp", "peek"), F.struct("heat", "id"))
-        out = table.groupBy("key").agg(best.alias("c"), F.count("*").alias("texts"))
-        out = out.select("key", F.col("c.id").alias("c_id"), F.col("c.comp").alias("c_comp"), F.col("c.peek").alias("c_peek"), "texts")
+        out = table.groupBy("key").agg(best.alias("c"), F.count("*").alias("texts"), (F.min("comp") != F.max("comp")).alias("mixed"))
+        out = out.select("key", F.col("c.id").alias("c_id"), F.col("c.comp").alias("c_comp"), F.col("c.peek").alias("c_peek"), "texts", "mixed")
         return materialize(out, "centers")
 
     near = F.bit_count(F.col("peek").bitwiseXOR(F.col("c_peek"))) <= 64 * share + 3.5 * sqrt(64 * share * (1 - share))
@@ -418,7 +418,8 @@ def similar_links(rows: DataFrame, classes: DataFrame, shingle: int, width: int,
     table = segment_rows(known, width, False).join(heat, "id", "left").withColumn("heat", F.coalesce("heat", F.lit(0)))
     best = centers(table)
     met = segment_rows(known, width, True).join(best, "key").withColumn("apart", (F.col("comp") != F.col("c_comp")) & near)
-    every = materialize(met.where("apart OR texts > 1").select("key", "id", "comp", "peek", "own", "c_id", "texts", "apart"), "met")
+    # a probe of an entry whose texts are all connected to it has nothing to be compared with
+    every = materialize(met.where("apart OR texts > 1 AND (own OR mixed OR comp <> c_comp)").select("key", "id", "comp", "peek", "own", "c_id", "texts", "apart"), "met")
     met = every.where("apart").select("key", "id", "comp", "peek", "c_id")
     # of those in an entry itself that are apart from its center, another center
     second = centers(met.join(table.select("key", "id", "heat"), ["key", "id"]))
